@@ -70,23 +70,30 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(breaks, start)
 
 
+#: Shingles are kept to 48 bits, so that a text's number within a batch fits above them in one sort key.
+TOKEN_BITS = 48
+TOKEN_MASK = np.uint64((1 << TOKEN_BITS) - 1)
+
+
 def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, offsets, words): the distinct k-word shingles of text i, ascending, are
-    hashes[offsets[i]:offsets[i + 1]]; words[i] is its number of words."""
+    """(tokens, offsets, words): the distinct k-word shingles of text i, ascending, are
+    tokens[offsets[i]:offsets[i + 1]]; words[i] is its number of words."""
     n = len(texts)
+    if n > 1 << 16:
+        raise ValueError("at most 65,536 texts at once")
     words, owner = word_hashes(texts)
     counts = np.bincount(owner, minlength=n)[:n] if len(owner) else np.zeros(n, np.int64)
     if len(words) < k:
         return np.empty(0, np.uint64), np.zeros(n + 1, np.int64), counts
     m = len(words) - k + 1
     whole = owner[:m] == owner[k - 1 :]
-    h = np.zeros(m, np.uint64)
-    for j in range(k):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + words[j : j + m]
-    h, of = mix(h[whole]), owner[:m][whole]
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[keep], of[keep]
-    return h, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int64), counts
+    h = words[:m] * np.uint64(0xD6E8FEB86659FD93)
+    for j in range(1, k):
+        h = mix(h + words[j : j + m]) if j == k - 1 else (h + words[j : j + m]) * np.uint64(0xD6E8FEB86659FD93)
+    key = (h[whole] >> np.uint64(64 - TOKEN_BITS)) | (owner[:m][whole].astype(np.uint64) << np.uint64(TOKEN_BITS))
+    key.sort()
+    keep = np.ones(len(key), bool)
+    keep[1:] = key[1:] != key[:-1]
+    key = key[keep]
+    sizes = np.bincount((key >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=n)
+    return key & TOKEN_MASK, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), counts
