@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encoding, mixing, neardup, splitting
+from foliant.llm import encoding, mixing, neardup, scans, splitting
 from foliant.sources.tables import load
 
 
@@ -33,6 +33,14 @@ def p7_temperature(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.temperature_weights(load(spark, directory, "documents"), load(spark, directory, "mix_targets"))
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    return scans.noise_found(load(spark, directory, "chunks"))
+
+
+def p4_repaired(spark: SparkSession, directory: str) -> DataFrame:
+    return scans.repaired(load(spark, directory, "chunks"))
+
+
 #: The measure that TESTDATA.md fixes for problem 5.
 _ALIKE = {"k": 3, "t": 0.7, "min_words": 40}
 
@@ -46,6 +54,6 @@ def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.groups(load(spark, directory, "chunks"), "chunk_id", "content", **_ALIKE)
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_temperature": p7_temperature}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_temperature": p7_temperature}
 
 SQL: dict[str, str] = {}
