@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there: lineage ends, and lost executors lose nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context, so that they need no copy of the repository."""
+    context = spark.sparkContext
+    if getattr(context, "_foliant_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        archive = Path(folder) / "foliant_package.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        # the context copies the file to where executors fetch it
+        context.addPyFile(str(archive))
+    context._foliant_shipped = True
