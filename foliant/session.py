@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,11 +49,12 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_foliant_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / "foliant_package.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for source in sorted(root.rglob("*.py")):
-                z.write(source, source.relative_to(root.parent))
-        # the context copies the file to where executors fetch it
-        context.addPyFile(str(archive))
+    # the driver serves the file from where it lies, so it stays until the driver ends
+    folder = tempfile.mkdtemp(prefix="foliant-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "foliant_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
     context._foliant_shipped = True
