@@ -9,7 +9,9 @@ verified on the shingles themselves. The bound never rejects a true pair.
 
 Comparing all tiles of the table with each other would be quadratic in the table, so tiles are formed inside blocks:
 the rows that share a shingle of their prefix, the a - ceil(t a) + 1 rarest of their shingles. Two sets alike by t share
-a prefix shingle whatever the common order is, so this loses nothing either. The order comes from a count sketch of
+a prefix shingle whatever the common order is, so this loses nothing either. At the first shingle that both share, at
+place p of a and q of b, min(a - p, b - q) bounds what they have in common; pairs of a block that fail this bound are
+left to the block of an earlier shingle, or are none. The order comes from a count sketch of
 all shingles (a fixed number of counters, summed over all rows, see SKETCH_BITS); a shingle whose counter is 1 occurs
 once in the corpus and opens no block. A block of more than BLOCK_ROWS rows is dealt into stripes, and each pair of
 stripes is a task of its own. Equal texts are one row until the very end, so a group of copies costs one row for each
@@ -114,8 +116,8 @@ def _post(texts: DataFrame, sketch: np.ndarray, k: int, t: float, min_words: int
                 order = np.lexsort((tokens, code, of))
                 place = np.arange(len(order)) - np.repeat(offsets[:-1], sizes)
                 prefix = sizes - np.ceil(t * sizes - 1e-9).astype(np.int64) + 1
-                use = order[(place < np.repeat(prefix, sizes)) & (code[order] > 0)]
-                use = use[wanted[of[use]]]
+                take = (place < np.repeat(prefix, sizes)) & (code[order] > 0) & wanted[of[order]]
+                use, at = order[take], place[take]
                 if not len(use):
                     continue
                 bits = _bitmaps(tokens, offsets)
@@ -127,24 +129,25 @@ def _post(texts: DataFrame, sketch: np.ndarray, k: int, t: float, min_words: int
                 own = (sigs[text_no].astype(np.uint64) % n_stripes.astype(np.uint64)).astype(np.int64)
                 low, high = np.minimum(own, other), np.maximum(own, other)
                 block = tokens[item].astype(np.int64) ^ ((low * n_stripes + high) << np.int64(TOKEN_BITS))
-                columns = [block, (own == low).astype(np.int8) | ((own == high).astype(np.int8) << 1), sigs[text_no], sizes[text_no].astype(np.int32), *bits[text_no].T.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["block", "side", "sig", "size", *(f"b{i}" for i in range(WORDS))])
+                columns = [block, (own == low).astype(np.int8) | ((own == high).astype(np.int8) << 1), sigs[text_no], sizes[text_no].astype(np.int32), at[rows].astype(np.int32), *bits[text_no].T.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["block", "side", "sig", "size", "place", *(f"b{i}" for i in range(WORDS))])
 
-    schema = "block bigint, side tinyint, sig bigint, size int, " + ", ".join(f"b{i} bigint" for i in range(WORDS))
+    schema = "block bigint, side tinyint, sig bigint, size int, place int, " + ", ".join(f"b{i} bigint" for i in range(WORDS))
     return texts.mapInArrow(run, schema)
 
 
-def _within(size_a: np.ndarray, size_b: np.ndarray, differ: np.ndarray, t: float) -> np.ndarray:
-    """Whether bitmaps that differ in so many bits, of sets of these sizes, may belong to a pair alike by t."""
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return (small >= t * large - 1e-9) & (differ <= (1 - t) / (1 + t) * (size_a + size_b) + 1e-9)
+def _within(size_a: np.ndarray, size_b: np.ndarray, left_a: np.ndarray, left_b: np.ndarray, differ: np.ndarray, t: float) -> np.ndarray:
+    """Whether bitmaps that differ in so many bits, of sets of these sizes with so many shingles from the shared one on,
+    may belong to a pair alike by t whose first shared shingle this is."""
+    total = size_a + size_b
+    return (differ <= (1 - t) / (1 + t) * total + 1e-9) & (np.minimum(left_a, left_b) >= t / (1 + t) * total - 1e-9)
 
 
-def _tiles(sig: np.ndarray, side: np.ndarray, size: np.ndarray, bits: np.ndarray, t: float) -> list[np.ndarray]:
+def _tiles(sig: np.ndarray, side: np.ndarray, size: np.ndarray, left: np.ndarray, bits: np.ndarray, t: float) -> list[np.ndarray]:
     """Candidate pairs of one block by tiles: rows in order of population count, tile pairs out of reach skipped."""
     weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     order = np.argsort(weight, kind="stable")
-    sig, side, size, bits, weight = sig[order], side[order], size[order], bits[order], weight[order]
+    sig, side, size, left, bits, weight = sig[order], side[order], size[order], left[order], bits[order], weight[order]
     starts = range(0, len(sig), TILE)
     largest = [size[s : s + TILE].max() for s in starts]
     out = []
@@ -156,7 +159,7 @@ def _tiles(sig: np.ndarray, side: np.ndarray, size: np.ndarray, bits: np.ndarray
                 continue
             rows, cols = slice(a, a + TILE), slice(b, b + TILE)
             differ = np.bitwise_count(bits[rows, None, :] ^ bits[None, cols, :]).sum(axis=2)
-            ok = _within(size[rows, None], size[None, cols], differ, t) & (sig[rows, None] != sig[None, cols]) & ((side[rows, None] | side[None, cols]) == 3)
+            ok = _within(size[rows, None], size[None, cols], left[rows, None], left[None, cols], differ, t) & (sig[rows, None] != sig[None, cols]) & ((side[rows, None] | side[None, cols]) == 3)
             if i == j:
                 ok &= np.tri(*ok.shape, dtype=bool).T
             x, y = np.nonzero(ok)
@@ -172,14 +175,15 @@ def _compare(posted: DataFrame, t: float) -> DataFrame:
         held: list[np.ndarray] | None = None
 
         def flush(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-            block, side, sig, size, *words = cols
+            block, side, sig, size, place, *words = cols
+            left = size - place
             bits = np.stack([w.view(np.uint64) for w in words], axis=1)
             edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             length = np.diff(edge)
             found = []
             for s, n in zip(edge[:-1][length > TILE // 4], length[length > TILE // 4], strict=True):
                 part = slice(s, s + n)
-                found += _tiles(sig[part], side[part], size[part], bits[part], t)
+                found += _tiles(sig[part], side[part], size[part], left[part], bits[part], t)
             # small blocks: tiles of one row, all blocks at once, each row against the one d places further on
             at = np.flatnonzero(np.repeat(length <= TILE // 4, length))
             for d in range(1, TILE // 4):
@@ -189,7 +193,7 @@ def _compare(posted: DataFrame, t: float) -> DataFrame:
                     break
                 to = at + d
                 differ = np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1)
-                ok = _within(size[at], size[to], differ, t) & (sig[at] != sig[to]) & ((side[at] | side[to]) == 3)
+                ok = _within(size[at], size[to], left[at], left[to], differ, t) & (sig[at] != sig[to]) & ((side[at] | side[to]) == 3)
                 found.append(np.stack([sig[at[ok]], sig[to[ok]]], axis=1))
             if not found:
                 return None
@@ -217,14 +221,15 @@ def _compare(posted: DataFrame, t: float) -> DataFrame:
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(sig, words, tokens): the shingles of each text as packed 64-bit numbers."""
+    """(sig, words, tokens): the shingles of each text, ascending, as packed 48-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text").to_pylist()
             for lo in range(0, len(column), AT_ONCE):
                 tokens, offsets, words = shingle_sets(column[lo : lo + AT_ONCE], k)
-                packed = [tokens[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                short = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8]).tobytes()
+                packed = [short[6 * a : 6 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("sig")[lo : lo + AT_ONCE], pa.array(words.astype(np.int32)), pa.array(packed, pa.binary())], names=["sig", "words", "tokens"])
 
     return texts.mapInArrow(run, "sig bigint, words int, tokens binary")
@@ -240,8 +245,10 @@ def _verify(pairs: DataFrame, t: float) -> DataFrame:
                 keys, sizes = [], []
                 for name in ("x", "y"):
                     parts = batch.column(name).to_pylist()
-                    n = np.array([len(p) // 8 for p in parts], np.int64)
-                    keys.append(np.frombuffer(b"".join(parts), np.uint64) | (np.repeat(np.arange(len(parts)), n).astype(np.uint64) << np.uint64(TOKEN_BITS)))
+                    n = np.array([len(p) // 6 for p in parts], np.int64)
+                    wide = np.zeros((int(n.sum()), 8), np.uint8)
+                    wide[:, :6] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
+                    keys.append(wide.view(np.uint64).reshape(-1) | (np.repeat(np.arange(len(parts)), n).astype(np.uint64) << np.uint64(TOKEN_BITS)))
                     sizes.append(n)
                 both = np.sort(np.concatenate(keys))
                 twice = both[1:][both[1:] == both[:-1]]
