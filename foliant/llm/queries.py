@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import encoding, mixing, neardup, scans, splitting
+from foliant.llm import abuse, encoding, mixing, neardup, scans, splitting
 from foliant.sources.tables import load
 
 
@@ -54,6 +54,49 @@ def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
     return neardup.groups(load(spark, directory, "chunks"), "chunk_id", "content", **_ALIKE)
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_temperature": p7_temperature}
-
-SQL: dict[str, str] = {}
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return abuse.found(load(spark, directory, "documents"), load(spark, directory, "abuse_labels"))
+
+
+def p8_scores(spark: SparkSession, directory: str) -> DataFrame:
+    return abuse.score(load(spark, directory, "documents"), load(spark, directory, "abuse_labels")).select("doc_id", "score")
+
+
+def p8_rates(spark: SparkSession, directory: str) -> DataFrame:
+    return abuse.rates(load(spark, directory, "documents"), load(spark, directory, "abuse_labels"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p7_temperature": p7_temperature,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
+}
+
+#: Longest unit of each chunk by level; a unit is compared without the white space around it.
+_STRIP = r"regexp_replace(u, '^\s+|\s+$', '', 'g')"
+
+SQL: dict[str, str] = {
+    "p1_found": rf"""
+WITH long AS (SELECT chunk_id, any_value(content) AS content FROM chunks WHERE length(content) > 1200 GROUP BY 1),
+lines AS (SELECT chunk_id, unnest(regexp_split_to_array(content, '\r\n|\r|\n')) AS u FROM long),
+sentences AS (SELECT chunk_id, unnest(string_split(regexp_replace(regexp_replace(u, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1))) AS u FROM lines),
+fits AS (
+  SELECT chunk_id, 1 AS level, max(length({_STRIP})) AS n
+  FROM (SELECT chunk_id, unnest(regexp_split_to_array(content, '(?:\r\n|\r|\n)(?:[ \t]*(?:\r\n|\r|\n))+')) AS u FROM long) GROUP BY 1
+  UNION ALL SELECT chunk_id, 2, max(length({_STRIP})) FROM lines GROUP BY 1
+  UNION ALL SELECT chunk_id, 3, max(length({_STRIP})) FROM sentences GROUP BY 1
+  UNION ALL SELECT chunk_id, 4, max(length(u)) FROM (SELECT chunk_id, unnest(regexp_split_to_array(content, '\s+')) AS u FROM long) GROUP BY 1)
+SELECT chunk_id, CASE min(CASE WHEN n <= 1200 THEN level ELSE 5 END)
+  WHEN 1 THEN 'paragraph' WHEN 2 THEN 'line' WHEN 3 THEN 'sentence' WHEN 4 THEN 'word' ELSE 'hard' END AS cut_level
+FROM fits GROUP BY 1""",
+}

@@ -46,12 +46,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of its text), in reading order over all texts."""
-    joined = "\n".join(t.lower().replace("\n", " ") for t in texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    if not len(points):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def words_of_points(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first position) of each word of an array of code points."""
     inside = word_table()[points]
     edges = np.diff(inside.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -60,14 +56,25 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     power = _powers(size, _MULT)
     weighted = (points + np.uint32(1)).astype(np.uint64)
     for lo in range(0, len(points), size):
-        weighted[lo : lo + size] *= power[: len(points[lo : lo + size])] if lo == 0 else power[: min(size, len(points) - lo)] * np.uint64(pow(_MULT, lo, 1 << 64))
+        part = weighted[lo : lo + size]
+        part *= power[: len(part)]
+        if lo:
+            part *= np.uint64(pow(_MULT, lo, 1 << 64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted, dtype=np.uint64)])
     inverse = pow(_MULT, -1, 1 << 64)
     back = _powers(size, inverse)[start % size]
     jump = np.array([pow(inverse, int(b) * size, 1 << 64) for b in range(len(points) // size + 1)], dtype=np.uint64)
-    hashes = mix((total[end] - total[start]) * back * jump[start // size] + (end - start).astype(np.uint64))
-    breaks = np.flatnonzero(points == 10)
-    return hashes, np.searchsorted(breaks, start)
+    return mix((total[end] - total[start]) * back * jump[start // size] + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, index of its text), in reading order over all texts."""
+    joined = "\n".join(t.lower().replace("\n", " ") for t in texts)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(points):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes, start = words_of_points(points)
+    return hashes, np.searchsorted(np.flatnonzero(points == 10), start)
 
 
 #: Shingles are kept to 48 bits, so that a text's number within a batch fits above them in one sort key.
