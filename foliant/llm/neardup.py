@@ -36,9 +36,9 @@ from foliant.llm.shingles import TOKEN_BITS, shingle_sets
 from foliant.operators.components import components
 from foliant.session import cut
 
-#: log2 of the counters of the sketch: 16 MB as sent to the workers, whatever the corpus. More counters only make
+#: log2 of the counters of the sketch: 64 MB at most as sent to the workers, whatever the corpus. More counters only make
 #: rare shingles easier to tell from frequent ones; results don't depend on it.
-SKETCH_BITS = 24
+SKETCH_BITS = 26
 #: 64-bit words of a bitmap.
 WORDS = 2
 TILE = 256
@@ -51,33 +51,59 @@ BROADCAST_IDS = 2_000_000
 _SLICES = 64
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """Counters of one slice as gaps between the ones in use (16 bits, wider gaps bridged by empty counters) and their values."""
+    at = np.flatnonzero(counts)
+    if len(at):
+        gap = np.diff(at, prepend=-1)
+        steps = (gap - 1) // 0xFFFF
+        if steps.any():
+            fill = np.repeat(at - gap, steps) + 0xFFFF * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1)
+            at = np.sort(np.concatenate([at, fill]))
+            gap = np.diff(at, prepend=-1)
+        return gap.astype(np.uint16).tobytes() + counts[at].tobytes()
+    return b""
+
+
+def _dense(data: bytes, size: int) -> np.ndarray:
+    n = len(data) // 3
+    out = np.zeros(size, np.uint8)
+    out[np.cumsum(np.frombuffer(data, np.uint16, n).astype(np.int64)) - 1] = np.frombuffer(data, np.uint8, n, 2 * n)
+    return out
+
+
 def _sketch(texts: DataFrame, k: int, min_words: int, bits: int) -> np.ndarray:
-    """Counter of each shingle bucket as 8 * log2(count), one byte; every row of the corpus is counted."""
+    """Counter of each shingle bucket as 8 * log2(count), one byte; every row of the corpus is counted.
+
+    A task's counters stop at 255, which only levels out the order among shingles that frequent.
+    """
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint8)
         for batch in batches:
             column = batch.column("text").to_pylist()
             for lo in range(0, len(column), AT_ONCE):
                 tokens, offsets, words = shingle_sets(column[lo : lo + AT_ONCE], k)
                 keep = np.repeat(words >= min_words, np.diff(offsets))
-                np.add.at(total, (tokens[keep] & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
-        if total.any():
-            parts = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
+                bucket = np.sort((tokens[keep] & np.uint64(size - 1)).astype(np.uint32))
+                first = np.flatnonzero(np.concatenate([[len(bucket) > 0], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+                at, times = bucket[first], np.diff(np.append(first, len(bucket)))
+                total[at] = np.minimum(total[at] + times, 255).astype(np.uint8)
+        parts = [_sparse(p) for p in total.reshape(_SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size // _SLICES, np.int64)
         for part in rows["counts"]:
-            total += np.frombuffer(part, np.uint16)
+            total += _dense(part, size // _SLICES)
         coded = np.rint(8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "counts": [coded.tobytes()]})
+        return pd.DataFrame({"slice": [key[0]], "counts": [_sparse(coded)]})
 
     parts = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
     out = np.zeros((_SLICES, size // _SLICES), np.uint8)
     for row in parts:
-        out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+        out[row["slice"]] = _dense(row["counts"], size // _SLICES)
     return out.reshape(-1)
 
 
@@ -220,44 +246,29 @@ def _compare(posted: DataFrame, t: float) -> DataFrame:
     return by_block.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(sig, words, tokens): the shingles of each text, ascending, as packed 48-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("text").to_pylist()
-            for lo in range(0, len(column), AT_ONCE):
-                tokens, offsets, words = shingle_sets(column[lo : lo + AT_ONCE], k)
-                short = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8]).tobytes()
-                packed = [short[6 * a : 6 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("sig")[lo : lo + AT_ONCE], pa.array(words.astype(np.int32)), pa.array(packed, pa.binary())], names=["sig", "words", "tokens"])
-
-    return texts.mapInArrow(run, "sig bigint, words int, tokens binary")
-
-
-def _verify(pairs: DataFrame, t: float) -> DataFrame:
-    """(a, b, similarity) of pairs with their shingles x and y, those below t left out."""
+def _verify(pairs: DataFrame, k: int, t: float, min_words: int) -> DataFrame:
+    """(a, b, similarity) of pairs with their texts x and y, those below t left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 4096):
-                batch = whole.slice(lo, 4096)
-                keys, sizes = [], []
-                for name in ("x", "y"):
-                    parts = batch.column(name).to_pylist()
-                    n = np.array([len(p) // 6 for p in parts], np.int64)
-                    wide = np.zeros((int(n.sum()), 8), np.uint8)
-                    wide[:, :6] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 6)
-                    keys.append(wide.view(np.uint64).reshape(-1) | (np.repeat(np.arange(len(parts)), n).astype(np.uint64) << np.uint64(TOKEN_BITS)))
-                    sizes.append(n)
+            for lo in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(lo, AT_ONCE)
+                number: dict[str, int] = {}
+                x, y = (np.array([number.setdefault(text, len(number)) for text in batch.column(c).to_pylist()], np.int64) for c in ("x", "y"))
+                tokens, offsets, words = shingle_sets(list(number), k)
+                sizes = np.diff(offsets)
+                keys = []
+                for side in (x, y):
+                    n = sizes[side]
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[side], n)
+                    keys.append(tokens[at] | (np.repeat(np.arange(len(side)), n).astype(np.uint64) << np.uint64(TOKEN_BITS)))
                 both = np.sort(np.concatenate(keys))
                 twice = both[1:][both[1:] == both[:-1]]
-                common = np.bincount((twice >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=batch.num_rows)
-                union = sizes[0] + sizes[1] - common
-                similarity = np.divide(common, union, out=np.zeros(len(union)), where=union > 0)
-                ok = common >= t * union - 1e-9
-                ok &= union > 0
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(similarity[ok])], names=["a", "b", "similarity"])
+                common = np.bincount((twice >> np.uint64(TOKEN_BITS)).astype(np.int64), minlength=len(x))
+                union = sizes[x] + sizes[y] - common
+                ok = (common >= t * union - 1e-9) & (union > 0) & (words[x] >= min_words) & (words[y] >= min_words)
+                similarity = common[ok] / union[ok]
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok)), pa.array(similarity)], names=["a", "b", "similarity"])
 
     return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
 
@@ -277,11 +288,11 @@ def similar_texts(df: DataFrame, key: str, text: str, k: int = 5, t: float = 0.8
     copies = rows.groupBy("sig").agg(F.min("key").alias("one"), F.max("key").alias("two")).where("one < two").select(F.col("sig").alias("a"), F.col("sig").alias("b"))
     pairs = cut(pairs.unionByName(copies))
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    kept = _only(rows, ids)
-    sets = cut(_sets(kept.groupBy("sig").agg(F.first("text").alias("text")).select("text", "sig"), k).where(F.col("words") >= least))
-    x = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
-    links = cut(_verify(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), t))
+    # texts move, not their shingles: they take half the bytes
+    kept = _only(rows, ids).groupBy("sig").agg(F.first("text").alias("text"))
+    x = kept.select(F.col("sig").alias("a"), F.col("text").alias("x"))
+    y = kept.select(F.col("sig").alias("b"), F.col("text").alias("y"))
+    links = cut(_verify(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), k, t, least))
     linked = cut(links.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
     return links, cut(_only(rows, linked).select("key", "sig").distinct())
 
