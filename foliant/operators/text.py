@@ -5,7 +5,135 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BLANKS = " \t\r\n"
+
 
 def canonical_label(column: str) -> Column:
     """Trimmed, in lower case, with blanks and hyphens as underscores."""
     return F.regexp_replace(F.lower(F.trim(F.col(column))), r"[\s\-]+", "_")
+
+
+def newlines(c: Column) -> Column:
+    return F.regexp_replace(c, r"\r\n?", "\n")
+
+
+def sentences(c: Column) -> Column:
+    """Pieces up to and with a sentence mark or line end, white space around them cut, empty ones dropped."""
+    parts = F.regexp_extract_all(c, F.lit(r"([^.。！？!?；;：:\n]*[.。！？!?；;：:\n]|[^.。！？!?；;：:\n]+$)"), F.lit(1))
+    return F.filter(F.transform(parts, lambda p: F.trim(p, F.lit(BLANKS))), lambda p: p != "")
+
+
+def multi_values(c: Column) -> Column:
+    """Values of a field that lists several, each once."""
+    return F.array_distinct(F.filter(F.transform(F.split(c, r"[、,，;；|]+"), lambda p: F.trim(p, F.lit(BLANKS))), lambda p: p != ""))
+
+
+def without_question_words(c: Column) -> Column:
+    """A query without question words and politeness; the query itself if nothing is left."""
+    bare = F.regexp_replace(F.lower(c), r"(^|\s)(what|who|how|which|where|why|when|is|are|was|were|do|does|did|can|could|would|please|the|a|an|of|to|in|on|for)(?=\s|$|[?.,!])", " ")
+    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.when(bare == "", c).otherwise(bare)
+
+
+def spaced_scripts(c: Column) -> Column:
+    """A blank between Latin letters or digits and CJK characters."""
+    out = F.regexp_replace(c, r"([A-Za-z0-9])([一-龥가-힣])", "$1 $2")
+    return F.regexp_replace(out, r"([一-龥가-힣])([A-Za-z0-9])", "$1 $2")
+
+
+def escaped(c: Column) -> Column:
+    """The characters that a query string reserves, with a backslash."""
+    return F.regexp_replace(c, r'([:{}/\[\]\-*"\(\)|+~^])', r"\\$1")
+
+
+def tight_punctuation(c: Column) -> Column:
+    """No blank after an opening and before a closing mark."""
+    return F.regexp_replace(F.regexp_replace(c, r"([(\[{]) +", "$1"), r" +([)\]},.;:!?])", "$1")
+
+
+def without_tables(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?i)</?(table|td|caption|tr|th)( [^<>]{0,12})?>", " ")
+
+
+def share_of(c: Column, pattern: str) -> Column:
+    """Share of the characters that match."""
+    return F.regexp_count(c, F.lit(pattern)) / F.nullif(F.length(c), F.lit(0))
+
+
+def links(c: Column) -> Column:
+    """Addresses in a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(https?://[^\s)\]>\"']+)"), F.lit(1)))
+
+
+def highlight(c: Column, words: list[str]) -> Column:
+    """Sentences with a hit, joined by "...", the hits in <em>."""
+    pattern = r"(?i)(^|[^\p{L}\p{N}])(" + "|".join(words) + r")(?=$|[^\p{L}\p{N}])"
+    hit = F.filter(sentences(c), lambda p: p.rlike(pattern))
+    return F.array_join(F.transform(hit, lambda p: F.regexp_replace(p, pattern, "$1<em>$2</em>")), "...")
+
+
+def half_width(c: Column) -> Column:
+    """Full-width forms of ASCII as ASCII, the ideographic blank as a blank."""
+    wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　"
+    return F.translate(c, wide, "".join(chr(x) for x in range(0x21, 0x7F)) + " ")
+
+
+def oov_frequency(c: Column) -> Column:
+    """Assumed frequency of a word outside the dictionary by its length; null if it isn't all letters."""
+    guess = F.bround(300 / F.pow(F.lit(2.0), (F.length(c) - 3) / 2), 0)
+    return F.when(c.rlike(r"^[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]+$"), F.greatest(F.lit(10), guess.cast("int")))
+
+
+def canonical_hash(*columns: str) -> Column:
+    """SHA-256 of the columns as compact JSON with sorted keys."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def joined_id(*columns: Column) -> Column:
+    return F.sha2(F.concat_ws("\u001f", *columns), 256)
+
+
+def pretty_bytes(c: Column) -> Column:
+    units = ["B", "KB", "MB", "GB", "TB"]
+    out = F.lit(None).cast("string")
+    for i in range(len(units) - 1, -1, -1):
+        size = F.round(c / 1024**i, 2)
+        out = F.when(c < 1024 ** (i + 1), F.concat(size.cast("string"), F.lit(" " + units[i]))).otherwise(out)
+    return out
+
+
+def safe_float(c: Column) -> Column:
+    return F.coalesce(c.try_cast("double"), F.lit(float("-inf")))
+
+
+def overlap_percent(c: Column) -> Column:
+    """A share up to 1 means percent times 100; the result lies in 0 to 90."""
+    x = F.coalesce(c.try_cast("double"), F.lit(0.0))
+    return F.least(F.greatest(F.when((x > 0) & (x < 1), x * 100).otherwise(x), F.lit(0.0)), F.lit(90.0)).cast("int")
+
+
+def months_between_years(start: Column, end: Column, now: str) -> Column:
+    """Whole months from start to end (an open end is now) in years, one decimal; not positive is 0."""
+    last = F.coalesce(end, F.to_timestamp(F.lit(now)))
+    months = (F.year(last) - F.year(start)) * 12 + F.month(last) - F.month(start)
+    return F.when(months > 0, F.bround(months / 12, 1)).otherwise(F.lit(0.0))
+
+
+def cell_bool(c: Column) -> Column:
+    word = F.lower(F.trim(c))
+    return F.when(word.isin("true", "yes", "y", "1", "是", "✓", "√", "t", "on"), True).when(word.isin("false", "no", "n", "0", "否", "x", "×", "f", "off"), False)
+
+
+def mixed_vectors(title: Column, content: Column, weight: float = 0.1) -> Column:
+    """weight * title + (1 - weight) * content; a weight of 0 means the usual 0.1."""
+    w = weight or 0.1
+    return F.zip_with(title, content, lambda a, b: w * a + (1 - w) * b)
+
+
+def valid_vector(c: Column, width: int) -> Column:
+    return F.coalesce((F.size(c) == width) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def weighted_tokens(content: Column, title: Column, keywords: Column, questions: Column) -> Column:
+    """Content terms once, title terms twice, keywords five and question terms six times."""
+    return F.concat(F.array_distinct(content), F.flatten(F.array_repeat(title, 2)), F.flatten(F.array_repeat(keywords, 5)), F.flatten(F.array_repeat(questions, 6)))

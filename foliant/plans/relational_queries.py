@@ -550,7 +550,7 @@ def w3_refill(s: SparkSession, d: str) -> DataFrame:
     return kept.select("vec_id", "label", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "vec_id")).alias("place"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, greatest(l_quantity, coalesce(lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), l_quantity)) AS pair FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, greatest(l_quantity, coalesce(lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice), l_quantity)) AS pair FROM lineitem""")
 def w6_bigram_weight(s: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.greatest("l_quantity", F.coalesce(F.lead("l_quantity").over(w), F.col("l_quantity"))).alias("pair"))
