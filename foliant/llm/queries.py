@@ -82,20 +82,20 @@ QUERIES = {
     "p8_rates": p8_rates,
 }
 
-#: Longest unit of each chunk by level; a unit is compared without the white space around it.
-_STRIP = r"regexp_replace(u, '^\s+|\s+$', '', 'g')"
+#: A unit without the white space around it; CR LF is written as two signs that no line end pattern can take apart.
+_STRIP = r"regexp_replace(u, '^[\s\x01\x02]+|[\s\x01\x02]+$', '', 'g')"
 
 SQL: dict[str, str] = {
     "p1_found": rf"""
-WITH long AS (SELECT chunk_id, any_value(content) AS content FROM chunks WHERE length(content) > 1200 GROUP BY 1),
-lines AS (SELECT chunk_id, unnest(regexp_split_to_array(content, '\r\n|\r|\n')) AS u FROM long),
-sentences AS (SELECT chunk_id, unnest(string_split(regexp_replace(regexp_replace(u, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1))) AS u FROM lines),
+WITH long AS (SELECT chunk_id, replace(any_value(content), chr(13) || chr(10), chr(1) || chr(2)) AS content FROM chunks WHERE length(content) > 1200 GROUP BY 1),
+lines AS (SELECT chunk_id, unnest(regexp_split_to_array(content, '\x01\x02|\r|\n')) AS u FROM long),
+sentences AS (SELECT chunk_id, unnest(string_split(regexp_replace(regexp_replace(u, '([.!?])(\s)', '\1' || chr(3) || '\2', 'g'), '([。！？])', '\1' || chr(3), 'g'), chr(3))) AS u FROM lines),
 fits AS (
   SELECT chunk_id, 1 AS level, max(length({_STRIP})) AS n
-  FROM (SELECT chunk_id, unnest(regexp_split_to_array(content, '(?:\r\n|\r|\n)(?:[ \t]*(?:\r\n|\r|\n))+')) AS u FROM long) GROUP BY 1
+  FROM (SELECT chunk_id, unnest(regexp_split_to_array(content, '(?:\x01\x02|\r|\n)(?:[ \t]*(?:\x01\x02|\r|\n))+')) AS u FROM long) GROUP BY 1
   UNION ALL SELECT chunk_id, 2, max(length({_STRIP})) FROM lines GROUP BY 1
   UNION ALL SELECT chunk_id, 3, max(length({_STRIP})) FROM sentences GROUP BY 1
-  UNION ALL SELECT chunk_id, 4, max(length(u)) FROM (SELECT chunk_id, unnest(regexp_split_to_array(content, '\s+')) AS u FROM long) GROUP BY 1)
+  UNION ALL SELECT chunk_id, 4, max(length(u)) FROM (SELECT chunk_id, unnest(regexp_split_to_array(content, '[\s\x01\x02]+')) AS u FROM long) GROUP BY 1)
 SELECT chunk_id, CASE min(CASE WHEN n <= 1200 THEN level ELSE 5 END)
   WHEN 1 THEN 'paragraph' WHEN 2 THEN 'line' WHEN 3 THEN 'sentence' WHEN 4 THEN 'word' ELSE 'hard' END AS cut_level
 FROM fits GROUP BY 1""",

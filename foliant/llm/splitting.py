@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = ("hard", "word", "sentence", "line", "paragraph")
-_EOL = r"(?:\r\n|\r|\n)"
+_EOL = r"(?>\r\n|\r|\n)"  # atomic: CR LF is never two line ends
 _BOUNDARY = {
     "paragraph": re.compile(rf"{_EOL}(?:[ \t]*{_EOL})+"),
     "line": re.compile(_EOL),
