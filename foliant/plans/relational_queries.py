@@ -412,9 +412,9 @@ def a4_sum_size(s: SparkSession, d: str) -> DataFrame:
     return files(s, d).where("doc_status = '1'").groupBy("kb_id").agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
 
 
-@query("""SELECT date_trunc('day', ts) AS day, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
+@query("""SELECT date_trunc('day', ts) AS day, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, round(avg(value), 9) AS mean FROM events GROUP BY 1""")
 def a5_daily_stats(s: SparkSession, d: str) -> DataFrame:
-    total, mean = F.round(F.sum("value"), 4), F.round(F.avg("value"), 6)
+    total, mean = F.round(F.sum("value"), 4), F.round(F.avg("value"), 9)
     return load(s, d, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), total.alias("total"), mean.alias("mean"))
 
 
