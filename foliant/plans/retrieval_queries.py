@@ -74,9 +74,9 @@ def r8_knn(s: SparkSession, d: str) -> DataFrame:
     return _knn(s, d, 10)
 
 
-@query(f"WITH {_KNN}, t AS ({_TOP.format('cos', 10)}) SELECT query, key, score AS cos, round((1 + score) / 2, 6) AS es_score FROM t")
+@query(f"WITH {_KNN}, t AS ({_TOP.format('cos', 10)}) SELECT query, key, score AS cos, round((1 + score) / 2, 8) AS es_score FROM t")
 def r9_score_scale(s: SparkSession, d: str) -> DataFrame:
-    return _knn(s, d, 10).select("query", "key", F.col("score").alias("cos"), F.round((1 + F.col("score")) / 2, 6).alias("es_score"))
+    return _knn(s, d, 10).select("query", "key", F.col("score").alias("cos"), F.round((1 + F.col("score")) / 2, 8).alias("es_score"))
 
 
 @query("""SELECT a.label, round(avg(c), 6) AS mean, round(min(c), 6) AS low, round(max(c), 6) AS high, avg(c) >= 0.9 AS compatible FROM

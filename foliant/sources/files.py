@@ -31,10 +31,11 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, columns: list[str], separator: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(rows, bad): rows of a table with a header; rows of another number of fields come out as they are in bad."""
+    """(rows, bad): rows of a table with a header; rows of another number of fields come out in bad, as they are
+    in its column line (which Spark reads only together with other columns)."""
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField("_bad", T.StringType())])
     every = spark.read.schema(schema).option("header", True).option("sep", separator).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", True).csv(path)
-    return every.where("_bad is null").drop("_bad"), every.select(*columns, "_bad").where("_bad is not null").select(F.col("_bad").alias("line"))
+    return every.where("_bad is null").drop("_bad"), every.where("_bad is not null").withColumnRenamed("_bad", "line")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
