@@ -308,7 +308,15 @@ def fit(texts: list[str], labels: np.ndarray, fair: float = 0.05, ridge: float =
         carries = (z >= worst[x.owner] - 1e-9) | (z > np.median(worst[labels > 0])) | (novelty >= new)
         use = trusted[x.owner] & ((label == 0) | carries)
         weight = np.where(use, 1.0, 0.0)
-    return model(use) or none
+    fitted = model(use)
+    if fitted is None:  # too few labels to tell which are mistaken: trust them all
+        weight = np.where(label > 0, 1.0 / per_text, 1.0)
+        fitted = model(np.ones(len(label), bool))
+        if fitted is not None:  # and find nothing that is no worse than a text labelled 0
+            weights, bias = fitted
+            worst = _worst(sentence_scores(x, weights, bias), x.owner, n)
+            return weights, bias - max(0.0, float(worst[(labels == 0) & np.isfinite(worst)].max()) + 1.0)
+    return fitted or none
 
 
 def _one_each(sentences: list[str]) -> Sentences:
