@@ -176,10 +176,13 @@ def merge_metadata(old: Column, new: Column) -> Column:
 def edit_metadata(meta: Column, key: str, remove: list[str] | None = None, replace: dict[str, str] | None = None, add: list[str] | None = None) -> Column:
     """A map of string lists with values of one key removed, replaced and added; keys without values fall out."""
 
+    def swap(values: Column, old: str, new: str) -> Column:
+        return F.transform(values, lambda v: F.when(v == old, new).otherwise(v))
+
     def change(k: Column, values: Column) -> Column:
         out = values
         for old, new in (replace or {}).items():
-            out = F.transform(out, lambda v, old=old, new=new: F.when(v == old, new).otherwise(v))
+            out = swap(out, old, new)
         for gone in remove or []:
             out = F.array_remove(out, gone)
         if add:
