@@ -83,7 +83,7 @@ def apply_changes(changes: DataFrame, base: DataFrame | None = None, batches: in
     Changes with the same source, epoch and generation are one change.
     """
     keys, order = ["source_id", "path_key"], ["epoch", "generation"]
-    touched = touches(changes)
+    touched = cut(touches(changes))  # paths are folded once, not once for each batch
     resolved = resolve_newest_first(touched, keys, order, batches)
     present = resolved.where("live").select(*keys, *order)
     if base is None:
