@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,22 @@ def _dense(data: bytes, size: int) -> np.ndarray:
     return out
 
 
-def _sketch(texts: DataFrame, k: int, min_words: int, bits: int) -> np.ndarray:
+@dataclass(frozen=True)
+class Sketch:
+    """Counters by slice, sparse as they travel (or plain behind a zero byte, where that is shorter)."""
+
+    size: int
+    parts: list[bytes]
+
+    def dense(self) -> np.ndarray:
+        n = self.size // len(self.parts)
+        out = np.empty((len(self.parts), n), np.uint8)
+        for i, part in enumerate(self.parts):
+            out[i] = np.frombuffer(part, np.uint8, n, 1) if len(part) == n + 1 else _dense(part, n)
+        return out.reshape(-1)
+
+
+def _sketch(texts: DataFrame, k: int, min_words: int, bits: int) -> Sketch:
     """Counter of each shingle bucket as 8 * log2(count), one byte; every row of the corpus is counted.
 
     A task's counters stop at 255, which only levels out the order among shingles that frequent.
@@ -98,13 +114,14 @@ def _sketch(texts: DataFrame, k: int, min_words: int, bits: int) -> np.ndarray:
         for part in rows["counts"]:
             total += _dense(part, size // _SLICES)
         coded = np.rint(8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "counts": [_sparse(coded)]})
+        sparse = _sparse(coded)
+        return pd.DataFrame({"slice": [key[0]], "counts": [sparse if len(sparse) < len(coded) else b"\0" + coded.tobytes()]})
 
-    parts = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    out = np.zeros((_SLICES, size // _SLICES), np.uint8)
-    for row in parts:
-        out[row["slice"]] = _dense(row["counts"], size // _SLICES)
-    return out.reshape(-1)
+    rows = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    parts = [b""] * _SLICES
+    for row in rows:
+        parts[row["slice"]] = bytes(row["counts"])
+    return Sketch(size, parts)
 
 
 def _bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -116,12 +133,12 @@ def _bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
 
 
-def _post(texts: DataFrame, sketch: np.ndarray, k: int, t: float, min_words: int) -> DataFrame:
+def _post(texts: DataFrame, sketch: Sketch, k: int, t: float, min_words: int) -> DataFrame:
     """(block, stripes, own, sig, size, bits): each text once for every prefix shingle that another text may have."""
     sent = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = sent.value, np.empty(0, np.int64)
+        codes, seen = sent.value.dense(), np.empty(0, np.int64)
         mask = np.uint64(len(codes) - 1)
         for batch in batches:
             texts_, sigs_ = batch.column("text").to_pylist(), batch.column("sig").to_numpy()
