@@ -85,6 +85,11 @@ QUERIES = {
 #: A unit without the white space around it; CR LF is written as two signs that no line end pattern can take apart.
 _STRIP = r"regexp_replace(u, '^[\s\x01\x02]+|[\s\x01\x02]+$', '', 'g')"
 
+_PAIRS = r"""WITH RECURSIVE doc AS (SELECT chunk_id, regexp_extract_all(lower(any_value(content)), '[\p{L}\p{N}]+') AS w FROM chunks WHERE content IS NOT NULL GROUP BY 1),
+gram AS (SELECT DISTINCT chunk_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM doc WHERE len(w) >= 40),
+size AS (SELECT chunk_id, count(*) AS n FROM gram GROUP BY 1), common AS (SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY 1, 2),
+pair AS (SELECT chunk_a, chunk_b FROM common JOIN size x ON x.chunk_id = chunk_a JOIN size y ON y.chunk_id = chunk_b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9)"""
+
 SQL: dict[str, str] = {
     "p1_found": rf"""
 WITH long AS (SELECT chunk_id, replace(any_value(content), chr(13) || chr(10), chr(1) || chr(2)) AS content FROM chunks WHERE length(content) > 1200 GROUP BY 1),
@@ -99,4 +104,10 @@ fits AS (
 SELECT chunk_id, CASE min(CASE WHEN n <= 1200 THEN level ELSE 5 END)
   WHEN 1 THEN 'paragraph' WHEN 2 THEN 'line' WHEN 3 THEN 'sentence' WHEN 4 THEN 'word' ELSE 'hard' END AS cut_level
 FROM fits GROUP BY 1""",
+    "p5_found": _PAIRS + " SELECT chunk_a, chunk_b FROM pair",
+    "p5_groups": _PAIRS + r""", edge AS (SELECT chunk_a AS a, chunk_b AS b FROM pair UNION SELECT chunk_b, chunk_a FROM pair),
+reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+first AS (SELECT a, least(a, min(b)) AS group_id FROM reach GROUP BY 1), text AS (SELECT DISTINCT chunk_id, content FROM chunks),
+links AS (SELECT edge.a, count(DISTINCT y.content) FILTER (y.content <> x.content) AS n FROM edge JOIN text x ON x.chunk_id = edge.a JOIN text y ON y.chunk_id = edge.b GROUP BY 1)
+SELECT DISTINCT c.chunk_id, coalesce(f.group_id, c.chunk_id) AS group_id, coalesce(l.n, 0) AS links FROM chunks c LEFT JOIN first f ON f.a = c.chunk_id LEFT JOIN links l ON l.a = c.chunk_id""",
 }
