@@ -90,25 +90,41 @@ def closure(edges: DataFrame, parent: str, child: str, max_levels: int = 10_000)
     return pairs
 
 
-def islands(df: DataFrame, partition: Sequence[str], order: str, section: str | None = None) -> DataFrame:
-    """df with island: runs of consecutive order values without a gap and, if given, within one section."""
-    w = W.partitionBy(*partition).orderBy(order)
-    starts = F.coalesce(F.col(order) - F.lag(order).over(w) != 1, F.lit(True))
-    if section:
-        starts = starts | ~F.col(section).eqNullSafe(F.lag(section).over(w))
-    return df.withColumn("island", F.sum(starts.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+def runs(df: DataFrame, partition: Sequence[str], order: str) -> DataFrame:
+    """(partition…, first, last, n): runs of consecutive order values without a gap, one row each.
+
+    A run starts where the place before is empty and ends where the next one is: two equi-joins, whatever the size of a
+    partition; only starts and ends are ranked to pair them. Order values are unique within a partition, nulls left out.
+    """
+    places = df.select(*partition, order).where(F.col(order).isNotNull()).distinct()
+    by = list(partition)
+
+    def edge(step: int, name: str) -> DataFrame:
+        others = places.withColumn(order, F.col(order) + step)
+        found = places.join(others, [*by, order], "left_anti")
+        return found.select(*by, F.col(order).alias(name), F.row_number().over(W.partitionBy(*by).orderBy(order)).alias("_no"))
+
+    return edge(1, "first").join(edge(-1, "last"), [*by, "_no"]).select(*by, "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
 
 
 def neighbours(seeds: DataFrame, rows: DataFrame, partition: Sequence[str], order: str, key: str, width: int, section: str | None = None) -> DataFrame:
-    """(seed, key, distance): rows at most ``width`` places from a seed in the same run of consecutive places.
+    """(seed, key, distance): rows at most ``width`` places from a seed, up to the first gap or change of section.
 
-    A range join made an equi-join: each seed names the places it wants.
+    A range join made an equi-join: each seed names the places it wants. What a seed finds, 2 * width + 1 rows, decides by itself
+    how far it reaches; no partition is sorted as a whole.
     """
-    placed = islands(rows, partition, order, section)
-    marked = placed.join(seeds.select(F.col(key)).distinct(), key, "left_semi")
-    wanted = marked.select(F.col(key).alias("seed"), *(F.col(c).alias(f"_{c}") for c in partition), F.col("island").alias("_island"), F.col(order).alias("_at"), F.explode(F.sequence(F.col(order) - width, F.col(order) + width)).alias("_place"))
-    same = reduce(and_, [placed[c].eqNullSafe(wanted[f"_{c}"]) for c in partition]) & (placed["island"] == wanted["_island"]) & (placed[order] == wanted["_place"])
-    return placed.join(wanted, same).select("seed", key, (F.col(order) - F.col("_at")).alias("distance"))
+    same_section = F.col(section) if section else F.lit(0)
+    given = rows.join(seeds.select(F.col(key)).distinct(), key, "left_semi")
+    wanted = given.select(F.col(key).alias("seed"), *(F.col(c).alias(f"_{c}") for c in partition), same_section.alias("_section"), F.col(order).alias("_at"), F.explode(F.sequence(F.lit(-width), F.lit(width))).alias("distance"))
+    placed = rows.select(F.col(key).alias("key"), *partition, order, same_section.alias("section"))
+    same = reduce(and_, [placed[c].eqNullSafe(wanted[f"_{c}"]) for c in partition]) & (placed[order] == wanted["_at"] + wanted["distance"])
+    met = placed.join(wanted, same).where(F.col("section").eqNullSafe(F.col("_section")))
+    around = met.groupBy("seed").agg(F.collect_list(F.struct("distance", "key")).alias("found"))
+    reached = F.filter(
+        "found",
+        lambda x: F.forall(F.sequence(F.least(x["distance"], F.lit(0)), F.greatest(x["distance"], F.lit(0))), lambda i: F.exists("found", lambda y: y["distance"] == i)),
+    )
+    return around.select("seed", F.inline(reached)).select("seed", F.col("key").alias(key), "distance")
 
 
 def apportion(df: DataFrame, group: Sequence[str], weight: str, key: str, total: int) -> DataFrame:

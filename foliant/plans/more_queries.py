@@ -56,11 +56,11 @@ def r20_scope_hits(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT vec_id % 10 AS query, 'a' AS lane, vec_id AS key, CAST(embedding[1] AS DOUBLE) AS score FROM embeddings UNION ALL SELECT vec_id % 10, 'b', vec_id, CAST(embedding[2] AS DOUBLE) FROM embeddings)
-  SELECT query, lane, key, row_number() OVER (PARTITION BY query, lane ORDER BY score DESC, key) AS place FROM l""")
+  SELECT query, lane, key, row_number() OVER (PARTITION BY query, lane ORDER BY score DESC, key) AS place FROM l QUALIFY place <= 128""")
 def w1_lane_ranks(s: SparkSession, d: str) -> DataFrame:
     e = load(s, d, "embeddings")
     lanes = F.inline(F.array(*(F.struct(F.lit(n).alias("lane"), F.element_at("embedding", i).cast("double").alias("score")) for n, i in (("a", 1), ("b", 2)))))
-    return G.lane_ranks(e.select((F.col("vec_id") % 10).alias("query"), F.col("vec_id").alias("key"), lanes))
+    return G.lane_ranks(e.select((F.col("vec_id") % 10).alias("query"), F.col("vec_id").alias("key"), lanes)).where("place <= 128")
 
 
 @query("""WITH m AS (SELECT label % 3 AS q, max(embedding[1]) AS best FROM embeddings GROUP BY 1) SELECT e.vec_id, m.best < 0.5 AS weak FROM embeddings e JOIN m ON m.q = e.label % 3""")
@@ -73,14 +73,13 @@ def w5_best_score_gate(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH c AS (SELECT doc_id, chunk_order, min(chunk_id) AS chunk_id FROM {LATEST_CHUNKS} WHERE chunk_order IS NOT NULL GROUP BY 1, 2), g AS (SELECT *, chunk_order - row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS i FROM c)
   SELECT doc_id, min(chunk_order) AS first, max(chunk_order) AS last, count(*) AS n FROM g GROUP BY doc_id, i""")
 def w7_islands(s: SparkSession, d: str) -> DataFrame:
-    rows = chunks_now(s, d, "chunk_id", "doc_id", "chunk_order").where("chunk_order is not null").groupBy("doc_id", "chunk_order").agg(F.min("chunk_id").alias("chunk_id"))
-    return R.islands(rows, ["doc_id"], "chunk_order").groupBy("doc_id", "island").agg(F.min("chunk_order").alias("first"), F.max("chunk_order").alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
+    return R.runs(chunks_now(s, d, "chunk_id", "doc_id", "chunk_order"), ["doc_id"], "chunk_order")
 
 
-@query("""SELECT o_custkey, min(o_orderkey) AS first, dense_rank() OVER (ORDER BY min(o_orderkey)) AS place FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 1""")
+@query("""SELECT l_orderkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_suppkey) AS place FROM lineitem GROUP BY 1, 2""")
 def w13_first_seen(s: SparkSession, d: str) -> DataFrame:
-    first = load(s, d, "orders").where("o_orderkey % 20 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
-    return first.withColumn("place", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("first")))
+    first = load(s, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("first"))
+    return first.select("l_orderkey", "l_suppkey", F.dense_rank().over(W.partitionBy("l_orderkey").orderBy("first", "l_suppkey")).alias("place"))
 
 
 @query(f"""SELECT doc_id, parse_run_id FROM (SELECT doc_id, parse_run_id, max(created) AS t FROM {LATEST_CHUNKS} WHERE parse_run_id IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY t DESC, parse_run_id DESC) = 1""")

@@ -56,13 +56,12 @@ def s3_search_after(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy("o_orderdate", "o_orderkey").offset(10_000).limit(100)
 
 
-@query(f"""SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(list_avg(page_num), 0), coalesce(list_avg(top), 0), chunk_id) AS place
-           FROM {LATEST_CHUNKS}""")
+@query(f"""SELECT doc_id, chunk_id, round(coalesce(list_avg(page_num), 0), 6) AS page, round(coalesce(list_avg(top), 0), 6) AS place FROM {LATEST_CHUNKS}""")
 def s4_chunk_list(s: SparkSession, d: str) -> DataFrame:
-    mean = lambda c: F.coalesce(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(c), F.lit(0)), F.lit(0.0))
+    """Chunks of every document in position order: a range-partitioned sort, no task holds a whole document."""
+    mean = lambda c: F.round(F.coalesce(F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(c), F.lit(0)), F.lit(0.0)), 6)
     rows = chunks_now(s, d, "chunk_id", "doc_id", "page_num", "top")
-    w = W.partitionBy("doc_id").orderBy(mean("page_num"), mean("top"), "chunk_id")
-    return rows.select("doc_id", "chunk_id", F.row_number().over(w).alias("place"))
+    return rows.select("doc_id", "chunk_id", mean("page_num").alias("page"), mean("top").alias("place")).orderBy("doc_id", "page", "place", "chunk_id")
 
 
 @query(f"SELECT chunk_id, available, created FROM {LATEST_CHUNKS}")
@@ -455,9 +454,12 @@ def a11_metadata_summary(s: SparkSession, d: str) -> DataFrame:
     return counts.join(F.broadcast(kinds), "key").select("key", "value", "n", "kind")
 
 
-@query(f"WITH {_EAV} SELECT key, value, list_sort(list(doc_id)) AS docs FROM e WHERE key IN ('lang', 'source') GROUP BY 1, 2")
+@query(f"WITH {_EAV}, n AS (SELECT key, value, count(*) AS docs FROM e GROUP BY 1, 2) SELECT key, value, doc_id, docs FROM e JOIN n USING (key, value) WHERE key IN ('lang', 'source')")
 def a12_inverted(s: SparkSession, d: str) -> DataFrame:
-    return _eav(s, d).where("key in ('lang', 'source')").groupBy("key", "value").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    """The inverted table as rows, with the size of each list: a list of all documents of a language would be one row of a task."""
+    rows = _eav(s, d).where("key in ('lang', 'source')")
+    sizes = rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("docs"))
+    return rows.join(sizes, ["key", "value"]).select("key", "value", "doc_id", "docs")
 
 
 @query(f"SELECT DISTINCT unnest(json_keys(metadata)) AS key FROM {LATEST_CHUNKS} WHERE metadata IS NOT NULL")
@@ -597,10 +599,10 @@ def t4_keyset(s: SparkSession, d: str) -> DataFrame:
     return R.keyset_page(load(s, d, "orders").select("o_orderkey"), "o_orderkey", 1000, 50)
 
 
-@query("SELECT vec_id, place FROM (SELECT vec_id, embedding[1] AS v, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS place FROM embeddings) WHERE v >= 0.1")
+@query("SELECT vec_id, place FROM (SELECT vec_id, embedding[1] AS v, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS place FROM embeddings) WHERE v >= 0.1 AND place <= 200")
 def t6_threshold(s: SparkSession, d: str) -> DataFrame:
     v = F.element_at("embedding", 1)
-    rows = load(s, d, "embeddings").select("vec_id", v.alias("v")).where("v >= 0.1")
+    rows = load(s, d, "embeddings").select("vec_id", v.alias("v")).where("v >= 0.1").orderBy(F.desc("v"), "vec_id").limit(200)
     return rows.select("vec_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("v"), "vec_id")).alias("place"))
 
 
@@ -633,10 +635,12 @@ def u9_distinct_join(s: SparkSession, d: str) -> DataFrame:
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_mktsegment", "n_name").distinct()
 
 
-@query("""SELECT folder_id, sha256(string_agg(document_id, ',' ORDER BY document_id)) AS digest, count(*) AS n FROM (SELECT DISTINCT folder_id, document_id FROM membership) GROUP BY 1""")
+@query("""SELECT folder_id, CAST(sum(CAST('0x' || substr(sha256(document_id), 1, 10) AS BIGINT)) % 1000000007 AS BIGINT) AS digest, count(*) AS n FROM (SELECT DISTINCT folder_id, document_id FROM membership WHERE document_id IS NOT NULL) GROUP BY 1""")
 def u11_snapshot_digest(s: SparkSession, d: str) -> DataFrame:
-    m = load(s, d, "membership").select("folder_id", "document_id").distinct()
-    return m.groupBy("folder_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("document_id")), ","), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """A digest of each folder's documents that needs no order: the sum of the documents' hashes, combined on the map side."""
+    m = load(s, d, "membership").where("document_id is not null").select("folder_id", "document_id").distinct()
+    part = F.conv(F.substring(F.sha2("document_id", 256), 1, 10), 16, 10).cast("decimal(38,0)")
+    return m.groupBy("folder_id").agg((F.sum(part) % 1_000_000_007).cast("bigint").alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT tenant_id, count(DISTINCT embd_id) <= 1 AND count(*) = count(embd_id) AS same FROM knowledgebases GROUP BY 1")

@@ -70,6 +70,7 @@ def test_closure_islands_neighbours(spark):
     rows = spark.createDataFrame([("d", i, f"c{i}", "s" if i < 4 else "t") for i in (1, 2, 3, 4, 5, 7)], "doc string, o int, id string, sec string")
     got = {(r["id"], r["distance"]) for r in R.neighbours(rows.where("id = 'c3'"), rows, ["doc"], "o", "id", 2, "sec").collect()}
     assert got == {("c1", -2), ("c2", -1), ("c3", 0)}
+    assert {tuple(r) for r in R.runs(rows, ["doc"], "o").collect()} == {("d", 1, 5, 5), ("d", 7, 7, 1)}
 
 
 def test_apportion(spark):
