@@ -238,7 +238,7 @@ def _part(x: Sentences, rows: np.ndarray) -> Sentences:
 
 
 def _frequent(x: Sentences, texts: int, least: int) -> Sentences:
-    """Features of fewer than ``least`` texts become one common feature (number 0): what is seen once or twice tells nothing."""
+    """Features of fewer than ``least`` texts become one common feature (number 0): what is seen once tells nothing."""
     of = np.repeat(x.owner, np.diff(x.offsets))
     pairs = np.unique(x.features * np.int64(texts) + of)
     spread = np.bincount(pairs // texts, minlength=1 << FEATURE_BITS)
@@ -261,7 +261,7 @@ def _worst(z: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, fair: float = 0.05, ridge: float = 1e-5, rounds: int = 60, folds: int = 3, least: int = 3) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: np.ndarray, fair: float = 0.05, ridge: float = 1e-5, rounds: int = 60, folds: int = 3, least: int = 2) -> tuple[np.ndarray, float]:
     """(weights, bias) from texts with labels 0 or 1.
 
     Which sentences carry a verdict, and which verdicts are mistaken, is told by models that were fitted on the other
