@@ -42,13 +42,14 @@ def idf(n: Column, df_: Column) -> Column:
 
 def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, boost: float = 1.0) -> DataFrame:
     """(query, key, score, matched): BM25 with Lucene's idf; ``queries`` is (query, term)."""
-    post = postings(corpus, key, text)
     asked = queries.select("term").distinct()
-    sized = corpus.select(F.col(key).alias("key"), F.size(tokens(F.col(text))).alias("dl")).where("dl > 0")
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = post.join(asked, "term", "left_semi")
+    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"))
+    stats = worded.select(F.size("w").alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    # only occurrences of asked terms are counted and shuffled; a text's length goes along with them
+    found = worded.select("key", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
+    wanted = found.groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     freq = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = wanted.join(freq, "term").join(sized, "key").crossJoin(F.broadcast(stats))
+    scored = wanted.join(freq, "term").crossJoin(F.broadcast(stats))
     part = boost * idf(F.col("n"), F.col("df")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.select("key", "term", part.alias("part")).join(queries, "term").groupBy("query", "key").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("matched"))
 
