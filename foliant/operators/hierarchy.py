@@ -8,7 +8,8 @@ that core exposes the cycle and has gathered its smallest id. The recordings are
 each giving its nodes the root, depth and path of the recorded parent. The rows of later rounds shrink
 geometrically, so all rounds together move a small multiple of the table.
 
-Cases: ids and parent ids are compared trimmed and in lower case. A blank or null parent, or one that is not in the
+Cases: ids and parent ids are compared in lower case without white space around them, and where they are 32 hex digits by
+these alone, so that dashes and braces of the UUID form don't count; ids come out as written, trimmed and in lower case. A blank or null parent, or one that is not in the
 table, makes a root. Repeated ids are one node (the smallest parent and name of them); rows without id are left out.
 Null names count as empty strings. A node that is its own parent is a loop of one. Nodes on or under a loop have
 null root, depth and path, and the smallest id of the loop as cycle_id. An empty table gives an empty result.
@@ -16,7 +17,7 @@ null root, depth and path, and the smallest id of the loop as cycle_id. An empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.session import cut
@@ -24,21 +25,29 @@ from foliant.session import cut
 _EDGE = ["id", "parent", "names", "ids", "hops", "least"]
 
 
+def _key(c: str) -> Column:
+    """What ids are compared by."""
+    plain = F.regexp_replace(F.lower(F.col(c)), r"^\s+|\s+$", "")
+    digits = F.regexp_replace(plain, r"[^\p{L}\p{N}]", "")
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), digits).otherwise(plain)
+
+
 def _nodes(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> DataFrame:
-    key = lambda c: F.lower(F.trim(F.col(c)))
     return (
-        df.select(key(id_col).alias("id"), F.nullif(key(parent_col), F.lit("")).alias("parent"), F.coalesce(F.col(name_col).cast("string"), F.lit("")).alias("name"))
-        .where(F.col("id").isNotNull() & (F.col("id") != ""))
-        .groupBy("id")
-        .agg(F.min("parent").alias("parent"), F.min("name").alias("name"))
+        df.select(
+            _key(id_col).alias("key"), F.lower(F.trim(F.col(id_col))).alias("id"), F.nullif(_key(parent_col), F.lit("")).alias("parent"), F.coalesce(F.col(name_col).cast("string"), F.lit("")).alias("name")
+        )
+        .where(F.col("key").isNotNull() & (F.col("key") != ""))
+        .groupBy("key")
+        .agg(F.min("id").alias("id"), F.min("parent").alias("parent"), F.min("name").alias("name"))
     )
 
 
 def contract(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "display_name", max_rounds: int = 200) -> DataFrame:
     """(id, root, depth, path, ids, cycle_id); ids holds the ids from the root down to the node itself."""
     nodes = cut(_nodes(df, id_col, parent_col, name_col))
-    known = nodes.select(F.col("id").alias("_known"))
-    linked = nodes.join(known, nodes["parent"] == known["_known"], "left")
+    known = nodes.select(F.col("key").alias("_key"), F.col("id").alias("_known"))
+    linked = nodes.join(known, nodes["parent"] == known["_key"], "left")
     linked = cut(
         linked.select(
             "id", F.col("_known").alias("parent"), F.col("name").alias("names"), F.array("id").alias("ids"), F.lit(1).alias("hops"), F.col("id").alias("least")

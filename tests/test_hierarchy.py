@@ -56,6 +56,14 @@ def test_descendants_and_counts(spark):
     assert {(r["id"], r["path"], r["descendants"]) for r in hierarchy(df).collect()} == {("a", "A", 2), ("b", "A/", 1), ("c", "A//C", 0)}
 
 
+def test_parents_in_uuid_form(spark):
+    top, mid, low = "0123456789abcdef0123456789abcdef", "f8885b84cfee4c3146b0e8c2598c4a62", "a" * 32
+    rows = [(top, " ", "T", 0, "", ""), (mid, "01234567-89AB-CDEF-0123-456789abcdef", "M", 0, "", ""), (low, " {F8885B84-cfee-4c31-46b0-e8c2598c4a62}\t", "L", 0, "", "")]
+    assert {(r["id"], r["root"], r["path"], r["cycle_id"]) for r in contract(spark.createDataFrame(rows, SCHEMA)).collect()} == {(top, top, "T", None), (mid, top, "T/M", None), (low, top, "T/M/L", None)}
+    rows[0] = (top, "f8885b84-cfee-4c31-46b0-e8c2598c4a62", "T", 0, "", "")
+    assert {tuple(r) for r in cycles(spark.createDataFrame(rows, SCHEMA)).collect()} == {(x, top) for x in (top, mid, low)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert hierarchy(df).count() == 0 and cycles(df).count() == 0
