@@ -12,7 +12,8 @@ Cases: ids and parent ids are compared in lower case without white space around
 these alone, so that dashes and braces of the UUID form don't count; ids come out as written, trimmed and in lower case. A blank or null parent, or one that is not in the
 table, makes a root. Repeated ids are one node (the smallest parent and name of them); rows without id are left out.
 Null names count as empty strings. A node that is its own parent is a loop of one. Nodes on or under a loop have
-null root, depth and path, and the smallest id of the loop as cycle_id. An empty table gives an empty result.
+null root, depth and path, and the smallest id of the loop as cycle_id. Below a node on a loop are the others on it and all that
+hang under it, each once, at the distance of the shortest way down; below a node under a loop is its own subtree. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def _nodes(df: DataFrame, id_col: str, parent_col: str, name_col: str) -> DataFr
 
 
 def contract(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", name_col: str = "display_name", max_rounds: int = 200) -> DataFrame:
-    """(id, root, depth, path, ids, cycle_id); ids holds the ids from the root down to the node itself."""
+    """(id, root, depth, path, ids, cycle_id, place, around); ids holds the ids from the root, or from the node of the loop, down
+    to the node itself; nodes on a loop have their place along it, downwards, and the number of nodes around it."""
     nodes = cut(_nodes(df, id_col, parent_col, name_col))
     known = nodes.select(F.col("key").alias("_key"), F.col("id").alias("_known"))
     linked = nodes.join(known, nodes["parent"] == known["_key"], "left")
@@ -53,12 +55,13 @@ def contract(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", n
             "id", F.col("_known").alias("parent"), F.col("name").alias("names"), F.array("id").alias("ids"), F.lit(1).alias("hops"), F.col("id").alias("least")
         )
     )
-    rootless = F.lit(None).cast("string")
+    rootless, nowhere = F.lit(None).cast("string"), F.lit(None).cast("int")
     done = linked.where(F.col("parent").isNull()).select(
-        "id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("names").alias("path"), "ids", rootless.alias("cycle_id")
+        "id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("names").alias("path"), "ids", rootless.alias("cycle_id"), nowhere.alias("place"), nowhere.alias("around")
     )
     alive = linked.where(F.col("parent").isNotNull())
     recorded: list[DataFrame] = []
+    looped: DataFrame | None = None
     for round_no in range(max_rounds):
         rank = lambda c: F.xxhash64(F.lit(round_no), F.col(c))  # noqa: B023, E731
         core = F.col("parent") == F.col("id")
@@ -85,10 +88,10 @@ def contract(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", n
         if not fates:
             break
         if fates.get("core"):
-            found = step.where("fate = 'core'")
-            done = done.unionByName(
-                found.select("id", rootless.alias("root"), F.lit(None).cast("int").alias("depth"), rootless.alias("path"), F.lit(None).cast("array<string>").alias("ids"), F.col("least").alias("cycle_id"))
-            )
+            # a core has gathered the ids around its loop, its own last
+            around = step.where("fate = 'core'").select(F.col("least").alias("cycle_id"), F.size("ids").alias("around"), F.posexplode("ids").alias("place", "id"))
+            found = around.select("id", rootless.alias("root"), nowhere.alias("depth"), rootless.alias("path"), F.array("id").alias("ids"), "cycle_id", "place", "around")
+            done, looped = done.unionByName(found), found if looped is None else looped.unionByName(found)
         recorded.append(step.where("fate in ('rake', 'splice')").select(*_EDGE))
         if not fates.get("stay"):
             break
@@ -96,7 +99,11 @@ def contract(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", n
     else:
         raise RuntimeError(f"contraction did not end within {max_rounds} rounds")
     done = cut(done)
+    if looped is not None:
+        looped = done.where("place is not null").select("id")
     for record in reversed(recorded):
+        if looped is not None:  # nodes on a loop are there already
+            record = record.join(looped, "id", "left_anti")
         above = done.select(*(F.col(c).alias(f"_{c}") for c in ("id", "root", "depth", "path", "ids", "cycle_id")))
         found = record.join(above, F.col("parent") == F.col("_id"))
         found = found.select(
@@ -106,6 +113,8 @@ def contract(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", n
             F.when(F.col("_path").isNotNull(), F.concat_ws("/", "_path", "names")).alias("path"),
             F.concat("_ids", "ids").alias("ids"),
             F.col("_cycle_id").alias("cycle_id"),
+            nowhere.alias("place"),
+            nowhere.alias("around"),
         )
         done = cut(done.unionByName(found))
     return done
@@ -116,13 +125,21 @@ def hierarchy(df: DataFrame, **columns: str) -> DataFrame:
     whole = contract(df, **columns)
     below = descendants_of(whole).groupBy("id").agg(F.count(F.lit(1)).alias("descendants"))
     counted = whole.join(below, "id", "left")
-    return counted.select("id", "root", "depth", "path", "cycle_id", F.when(F.col("cycle_id").isNull(), F.coalesce("descendants", F.lit(0))).alias("descendants"))
+    return counted.select("id", "root", "depth", "path", "cycle_id", F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
 
 def descendants_of(contracted: DataFrame) -> DataFrame:
     """(id, descendant, distance) for every pair of a node and a node below it, from what ``contract`` returned."""
-    above = contracted.where("depth > 0").select(F.col("id").alias("descendant"), "depth", F.posexplode(F.slice("ids", F.lit(1), F.col("depth"))).alias("at", "id"))
-    return above.select("id", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    looped = F.col("cycle_id").isNotNull().cast("int")  # the first id is of the loop, whose nodes come below
+    chains = contracted.where(F.size("ids") > 1).select(
+        F.col("id").alias("descendant"), (F.size("ids") - 1 - looped).alias("most"), F.posexplode(F.slice("ids", looped + 1, F.size("ids") - 1 - looped)).alias("at", "id")
+    )
+    chains = chains.select("id", "descendant", (F.col("most") - F.col("at")).alias("distance"))
+    ring = contracted.where("place is not null")
+    entry = ring.select(F.col("id").alias("_entry"), F.col("place").alias("_place"))
+    hung = contracted.where("cycle_id is not null").select(F.col("id").alias("descendant"), "cycle_id", F.element_at("ids", 1).alias("_entry"), (F.size("ids") - 1).alias("hops")).join(entry, "_entry")
+    around = hung.join(ring.select("id", "cycle_id", "place", "around"), "cycle_id").where("id <> descendant")
+    return chains.unionByName(around.select("id", "descendant", (F.col("hops") + F.pmod(F.col("_place") - F.col("place"), F.col("around"))).alias("distance")))
 
 
 def cycles(df: DataFrame, **columns: str) -> DataFrame:

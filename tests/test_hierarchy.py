@@ -56,6 +56,24 @@ def test_descendants_and_counts(spark):
     assert {(r["id"], r["path"], r["descendants"]) for r in hierarchy(df).collect()} == {("a", "A", 2), ("b", "A/", 1), ("c", "A//C", 0)}
 
 
+def test_descendants_on_and_under_loops(spark):
+    parent = {f"l{i}": f"l{(i + 1) % 5}" for i in range(5)} | {f"t{i}": f"t{i - 1}" if i else "l3" for i in range(6)} | {"b": "t2", "b2": "b", "self": "self", "under": "self", "a2": "b1", "b1": "a2", "r": None, "s": "r"}
+    parent |= {f"m{i}": f"m{(i + 1) % 40}" for i in range(40)} | {f"x{i}": f"m{i * 3}" for i in range(9)}
+    want = set()
+    for node in parent:
+        at, n = parent[node], 1
+        seen = {node}
+        while at is not None and at not in seen:
+            seen.add(at)
+            want.add((at, node, n))
+            at, n = parent[at], n + 1
+    df = spark.createDataFrame([(n, p, n, 0, "", "") for n, p in parent.items()], SCHEMA)
+    got = [tuple(r) for r in descendants_of(contract(df)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    counts = {r["id"]: r["descendants"] for r in hierarchy(df).collect()}
+    assert counts == {n: sum(a == n for a, _, _ in want) for n in parent}
+
+
 def test_parents_in_uuid_form(spark):
     top, mid, low = "0123456789abcdef0123456789abcdef", "f8885b84cfee4c3146b0e8c2598c4a62", "a" * 32
     rows = [(top, " ", "T", 0, "", ""), (mid, "01234567-89AB-CDEF-0123-456789abcdef", "M", 0, "", ""), (low, " {F8885B84-cfee-4c31-46b0-e8c2598c4a62}\t", "L", 0, "", "")]
