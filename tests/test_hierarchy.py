@@ -92,3 +92,36 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a int, b int"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}, 200: 200, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
+
+
+def test_rounds_in_spark_and_in_one_task_agree(spark):
+    """However much of the contraction is left to the last task, the result is that of brute force."""
+    rng = random.Random(11)
+    parent: dict[str, str | None] = {f"c{i}": f"c{i - 1}" if i else None for i in range(60)} | {f"s{i}": "c7" for i in range(40)}
+    parent |= {f"m{i}": f"m{(i + 1) % 23}" for i in range(23)} | {f"x{i}": f"x{i - 1}" if i else "m4" for i in range(12)} | {f"y{i}": f"m{i * 2}" for i in range(9)}
+    parent |= {"self": "self", "a2": "b2", "b2": "a2", "alone": None} | {f"r{i}": f"r{rng.randrange(60)}" if rng.random() < 0.95 else None for i in range(60)}
+    below = {n: set() for n in parent}
+    for node in parent:
+        at, seen = parent[node], {node}
+        while at is not None and at not in seen:
+            seen.add(at)
+            below[at].add(node)
+            at = parent[at]
+    worth = {n: rng.randrange(100) for n in parent}
+    df = spark.createDataFrame([(n, p, f"n{n}", worth[n]) for n, p in parent.items()], "id string, parent_id string, display_name string, worth int")
+    want = brute(parent)
+    for core_rows in (0, 25):
+        whole = contract(df, value_col="worth", core_rows=core_rows)
+        rows = whole.collect()
+        assert len(rows) == len(parent)
+        for r in rows:
+            n, w = r["id"], want[r["id"]]
+            assert (r["descendants"], r["total"]) == (len(below[n]), worth[n] + sum(worth[x] for x in below[n]))
+            if w[0] == "cycle":
+                assert (r["cycle_id"], r["root"], r["depth"], r["path"]) == (w[1], None, None, None)
+            else:
+                assert (r["cycle_id"], r["root"], r["depth"], r["ids"], r["path"]) == (None, w[1], w[2], w[3], "/".join(f"n{x}" for x in w[3]))
+        pairs = [(r["id"], r["descendant"]) for r in descendants_of(whole).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a, bs in below.items() for b in bs}
+        bare = contract(df, paths=False, core_rows=core_rows).collect()
+        assert {(r["id"], r["root"], r["cycle_id"], r["descendants"]) for r in bare} == {(r["id"], r["root"], r["cycle_id"], r["descendants"]) for r in rows}
