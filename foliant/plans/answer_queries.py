@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators import answers as N
+from foliant.operators import hierarchy as H
 from foliant.operators import retrieval as V
 from foliant.operators import text as X
+from foliant.plans.feed_queries import FOLDER_NODES
 from foliant.plans.registry import Registry
 from foliant.plans.relational_queries import LATEST_CHUNKS, chunks_now, files
 from foliant.sources.tables import load
@@ -81,19 +83,17 @@ def a23_queue_length(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "orders").groupBy("o_orderpriority").agg(F.least(F.count_if(F.col("o_orderstatus") == "O"), F.countDistinct("o_custkey")).alias("queued"))
 
 
-@query(r"""WITH RECURSIVE node AS (SELECT lower(trim(id)) AS id, min(nullif(lower(trim(parent_id)), '')) AS parent FROM docmind_folder GROUP BY 1),
-  up AS (SELECT id, id AS top FROM node UNION SELECT up.id, node.parent FROM up JOIN node ON node.id = up.top WHERE node.parent IN (SELECT id FROM node)),
-  file AS (SELECT id, max(size_bytes) AS size FROM source_documents GROUP BY 1), own AS (SELECT folder_id, sum(size) AS size FROM (SELECT DISTINCT folder_id, document_id FROM membership) m JOIN file ON file.id = m.document_id GROUP BY 1),
-  lost AS (SELECT id FROM node WHERE id NOT IN (SELECT u.id FROM up u JOIN node n ON n.id = u.top WHERE n.parent IS NULL OR n.parent NOT IN (SELECT id FROM node)))
-  SELECT up.top AS id, sum(coalesce(own.size, 0)) AS size FROM up LEFT JOIN own ON own.folder_id = up.id WHERE up.id NOT IN (SELECT id FROM lost) GROUP BY 1""")
+@query(f"""WITH RECURSIVE {FOLDER_NODES}, top AS (SELECT id, id AS at FROM node WHERE parent IS NULL UNION ALL SELECT n.id, n.id FROM top JOIN node n ON n.parent = top.id),
+  up AS (SELECT id, id AS top FROM top UNION ALL SELECT up.id, n.parent FROM up JOIN node n ON n.id = up.top WHERE n.parent IS NOT NULL),
+  file AS (SELECT id, max(size_bytes) AS size FROM source_documents GROUP BY 1), own AS (SELECT folder_id, sum(size) AS size FROM (SELECT DISTINCT folder_id, document_id FROM membership) m JOIN file ON file.id = m.document_id GROUP BY 1)
+  SELECT up.top AS id, CAST(sum(coalesce(own.size, 0)) AS BIGINT) AS size FROM up LEFT JOIN own ON own.folder_id = up.id GROUP BY 1""")
 def a26_folder_size(s: SparkSession, d: str) -> DataFrame:
-    from foliant.operators import hierarchy as H
-
-    whole = H.contract(load(s, d, "docmind_folder")).where("cycle_id is null")
+    """Bytes of the files in a folder and all below it, summed while the tree is contracted."""
     sizes = load(s, d, "source_documents").groupBy(F.col("id").alias("document_id")).agg(F.max("size_bytes").alias("size"))
     own = load(s, d, "membership").select("folder_id", "document_id").distinct().join(sizes, "document_id").groupBy("folder_id").agg(F.sum("size").alias("size"))
-    placed = whole.join(own, whole["id"] == own["folder_id"], "left").select(F.explode("ids").alias("id"), F.coalesce("size", F.lit(0)).alias("size"))
-    return placed.groupBy("id").agg(F.sum("size").alias("size"))
+    folders = load(s, d, "docmind_folder")
+    weighed = folders.join(own, folders["id"] == own["folder_id"], "left").select("id", "parent_id", "display_name", "size")
+    return H.contract(weighed, value_col="size", paths=False).where("cycle_id is null").select("id", F.col("total").alias("size"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, chunk_order, min(chunk_id) AS id, arg_min(regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{N}}]+'), chunk_id) AS w FROM {LATEST_CHUNKS} WHERE chunk_order IS NOT NULL GROUP BY 1, 2),

@@ -26,11 +26,13 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_tree": p2_tree, "p2_descendants": p2_descendants, "p3_found": p3_found}
 
-_NODES = """
-node AS (SELECT lower(trim(id)) AS id, min(nullif(lower(trim(parent_id)), '')) AS parent, min(coalesce(display_name, '')) AS name
-         FROM docmind_folder WHERE trim(id) <> '' GROUP BY 1),
-tree AS (SELECT n.id, n.id AS root, 0 AS depth, n.name AS path FROM node n
-         WHERE n.parent IS NULL OR NOT EXISTS (SELECT 1 FROM node p WHERE p.id = n.parent)
+#: Folders by the 32 hex digits of their id; a parent may be written with dashes, braces, blanks or capitals.
+FOLDER_NODES = r"""
+folder AS (SELECT lower(trim(id)) AS id, regexp_replace(lower(id), '[^0-9a-f]', '', 'g') AS key, nullif(regexp_replace(lower(parent_id), '[^0-9a-f]', '', 'g'), '') AS parent_key,
+           coalesce(display_name, '') AS name FROM docmind_folder WHERE trim(id) <> ''),
+node AS (SELECT min(c.id) AS id, min(p.id) AS parent, min(c.name) AS name FROM folder c LEFT JOIN folder p ON p.key = c.parent_key GROUP BY c.key)"""
+_TREE = """,
+tree AS (SELECT n.id, n.id AS root, 0 AS depth, n.name AS path FROM node n WHERE n.parent IS NULL
          UNION ALL
          SELECT n.id, t.root, t.depth + 1, t.path || '/' || n.name FROM tree t JOIN node n ON n.parent = t.id)"""
 _LOOPS = """,
@@ -40,21 +42,18 @@ up AS (SELECT id AS start, id AS at FROM lost
        SELECT up.start, lost.parent FROM up JOIN lost ON lost.id = up.at),
 ring AS (SELECT DISTINCT a.start AS id FROM up a JOIN lost l ON l.id = a.at WHERE l.parent = a.start),
 looped AS (SELECT up.start AS id, min(up.at) AS cycle_id FROM up JOIN ring ON ring.id = up.at GROUP BY 1)"""
+#: Every folder has one parent, so a walk down meets no folder twice before it comes back to where it began.
+_BELOW = """,
+below AS (SELECT parent AS id, id AS descendant, 1 AS distance FROM node WHERE parent <> id
+          UNION ALL SELECT below.id, n.id, distance + 1 FROM below JOIN node n ON n.parent = below.descendant WHERE n.id <> below.id)"""
 
 SQL = {
-    "p2_found": f"WITH RECURSIVE {_NODES}{_LOOPS} SELECT id, cycle_id FROM looped",
-    "p2_tree": f"""WITH RECURSIVE {_NODES}{_LOOPS},
-below AS (SELECT parent AS top, id FROM node n WHERE parent IS NOT NULL AND EXISTS (SELECT 1 FROM tree t WHERE t.id = n.id)
-          AND EXISTS (SELECT 1 FROM node p WHERE p.id = n.parent)
-          UNION ALL SELECT below.top, n.id FROM below JOIN node n ON n.parent = below.id),
-total AS (SELECT top, count(*) AS descendants FROM below GROUP BY 1)
-SELECT t.id, t.root, t.depth, t.path, CAST(NULL AS VARCHAR) AS cycle_id, coalesce(x.descendants, 0) AS descendants
-FROM tree t LEFT JOIN total x ON x.top = t.id
-UNION ALL SELECT id, NULL, NULL, NULL, cycle_id, NULL FROM looped""",
-    "p2_descendants": f"""WITH RECURSIVE {_NODES},
-below AS (SELECT n.parent AS id, n.id AS descendant, 1 AS distance FROM node n JOIN tree t ON t.id = n.id JOIN node p ON p.id = n.parent
-          UNION ALL SELECT below.id, n.id, distance + 1 FROM below JOIN node n ON n.parent = below.descendant)
-SELECT id, descendant, distance FROM below""",
+    "p2_found": f"WITH RECURSIVE {FOLDER_NODES}{_TREE}{_LOOPS} SELECT id, cycle_id FROM looped",
+    "p2_tree": f"""WITH RECURSIVE {FOLDER_NODES}{_TREE}{_LOOPS}{_BELOW},
+total AS (SELECT id, count(*) AS descendants FROM below GROUP BY 1),
+every AS (SELECT id, root, depth, path, CAST(NULL AS VARCHAR) AS cycle_id FROM tree UNION ALL SELECT id, NULL, NULL, NULL, cycle_id FROM looped)
+SELECT every.*, coalesce(total.descendants, 0) AS descendants FROM every LEFT JOIN total USING (id)""",
+    "p2_descendants": f"WITH RECURSIVE {FOLDER_NODES}{_BELOW} SELECT id, descendant, distance FROM below",
     # DuckDB has no full case folding: lower() and the sharp s cover the letters of the test tables
     "p3_found": r"""WITH change AS (
   SELECT DISTINCT source_id, epoch, generation, lower(trim(kind)) AS kind,

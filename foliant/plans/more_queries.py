@@ -12,6 +12,7 @@ from foliant.operators import pipeline as G
 from foliant.operators import relational as R
 from foliant.operators import retrieval as V
 from foliant.operators import text as X
+from foliant.plans.feed_queries import FOLDER_NODES
 from foliant.plans.registry import Registry
 from foliant.plans.relational_queries import FILES, LATEST_CHUNKS, chunks_now, files
 from foliant.sources.tables import load
@@ -34,11 +35,11 @@ def c18_embed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scope_sql(start: str) -> str:
-    return f"""WITH RECURSIVE node AS (SELECT lower(trim(id)) AS id, min(nullif(lower(trim(parent_id)), '')) AS parent FROM docmind_folder GROUP BY 1),
+    return f"""WITH RECURSIVE {FOLDER_NODES},
   sub AS ({start} UNION SELECT node.id FROM node JOIN sub ON node.parent = sub.id) SELECT DISTINCT document_id FROM membership WHERE folder_id IN (SELECT id FROM sub)"""
 
 
-@query(_scope_sql("SELECT min(id) AS id FROM node WHERE parent IS NULL"))
+@query(_scope_sql("SELECT lower(trim(min(id))) AS id FROM docmind_folder WHERE parent_id IS NULL OR trim(parent_id) = ''"))
 def r19_scope(s: SparkSession, d: str) -> DataFrame:
     folders = H.contract(load(s, d, "docmind_folder")).where("cycle_id is null")
     spark_root = load(s, d, "docmind_folder").where("parent_id is null or trim(parent_id) = ''").agg(F.min(F.lower(F.trim("id"))).alias("id")).first()["id"]
