@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import zipfile
@@ -29,12 +30,19 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only where the cluster names none, as in tests, make one."""
+    """Use the shared folder named by spark.checkpoint.dir; a local master without one, as in tests, gets a folder of its own.
+
+    On a cluster a folder of one machine would be written by executors that don't share it, so that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-checkpoint-"))
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="foliant-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
