@@ -9,7 +9,7 @@ are left out of the last fit, as raters err. In labelled sentences that name a g
 another group, and the squared change of the score is penalised: what is said must decide, not about whom.
 
 Cases: a null, empty or blank text has score 0. Labels of null verdict count for nothing; a text with as many verdicts for
-as against is not used. Without labels of both kinds every score is 0. Repeated label rows count once for each rater.
+as against is not used. Without labels of both kinds, or with fewer than LEAST_POSITIVE positive ones, every score is 0. Repeated label rows count once for each rater.
 Repeated documents each have their row; extra columns are ignored.
 """
 
@@ -29,6 +29,10 @@ from foliant.operators.text import canonical_label
 
 #: Labelled texts used for fitting at most, those of the smallest hash; scoring covers every row.
 MOST_LABELLED = 20_000
+#: Characters of these texts at most (those of the smallest hash again); texts beyond are left out whole, from fitting only.
+MOST_CHARACTERS = 100_000_000
+#: Texts with a positive label below which nothing is fitted: every score is 0 then.
+LEAST_POSITIVE = 5
 FEATURE_BITS = 20
 #: Words of a sentence above which it is cut for scoring.
 LONG_SENTENCE = 40
@@ -269,7 +273,7 @@ def fit(texts: list[str], labels: np.ndarray, fair: float = 0.05, ridge: float =
     """
     labels = np.asarray(labels, np.float64)
     none = np.zeros(1 << FEATURE_BITS, np.float32), -50.0
-    if not len(labels) or labels.min() == labels.max():
+    if labels.sum() < LEAST_POSITIVE or labels.min() == labels.max():
         return none
     x = featurise(texts)
     if not len(x.owner):
@@ -327,11 +331,17 @@ def _one_each(sentences: list[str]) -> Sentences:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts with their majority label, at most ``most`` of them."""
+    """Texts with their majority label, at most ``most`` of them and of MOST_CHARACTERS together."""
     votes = labels.where("verdict is not null").select("doc_id", "rater", F.lower(F.trim("verdict")).alias("verdict")).distinct()
     verdicts = votes.groupBy("doc_id").agg(F.avg((F.col("verdict") != "none").cast("double")).alias("share")).where("share <> 0.5")
     chosen = verdicts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    room = texts.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most as many rows as chosen
+    if sum(r["n"] for r in room) > MOST_CHARACTERS:
+        within = np.cumsum([r["n"] for r in room]) <= MOST_CHARACTERS
+        fitting = documents.sparkSession.createDataFrame([(r["doc_id"],) for r, ok in zip(room, within, strict=True) if ok], texts.select("doc_id").schema)
+        texts = texts.join(F.broadcast(fitting), "doc_id", "left_semi")
+    rows = texts.orderBy("doc_id").collect()
     return [r["text"] for r in rows], np.array([r["share"] > 0.5 for r in rows], np.float64)
 
 

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from foliant.llm.encoding import TOKENIZERS, encode_column
 from foliant.session import cut
 
-#: Hash buckets of each source for the two-level running sums.
-BUCKETS = 1024
+#: Hash buckets of each source for the two-level running sums: at least so many, and as many as keep them to this many documents.
+BUCKETS, BUCKET_DOCS = 1024, 20_000
+#: Rows (source and bucket) up to which the running sums are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def canonical(source: str) -> Column:
@@ -113,21 +115,24 @@ def plan(sizes: DataFrame, mix_targets: DataFrame) -> tuple[dict[str, dict], int
     return rows, corpus
 
 
-def select(sizes: DataFrame, rows: dict[str, dict], seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+def select(sizes: DataFrame, rows: dict[str, dict], seed: int = 0, buckets: int | None = None) -> DataFrame:
     """(doc_id, source, tokens, pass, position): one row for each use of a document; within a source and pass,
     position orders the documents."""
     spark = sizes.sparkSession
+    if buckets is None:
+        largest = max((r["docs"] for r in rows.values()), default=0)
+        buckets = max(BUCKETS, 1 << (largest // BUCKET_DOCS).bit_length())
     fixed = spark.createDataFrame(
         [(s, r["passes"], float(r["budget"] - r["passes"] * r["tokens"])) for s, r in rows.items()], "source string, passes int, left double"
     )
     order = F.xxhash64(F.col("doc_id"), F.col("passes"), F.lit(seed))
     placed = sizes.where("tokens > 0").join(F.broadcast(fixed), "source").withColumn("order", order)
-    placed = placed.withColumn("bucket", F.shiftrightunsigned(F.col("order"), 64 - int(math.log2(buckets))))
+    placed = placed.withColumn("bucket", F.shiftrightunsigned(F.col("order"), 64 - int(math.log2(buckets))) if buckets > 1 else F.lit(0))
     by_bucket = placed.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     by_bucket = by_bucket.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("before"))
-    # at most sources x buckets rows, whatever the corpus
-    joined = placed.join(F.broadcast(by_bucket), ["source", "bucket"])
+    # at most sources x buckets rows
+    joined = placed.join(F.broadcast(by_bucket) if len(rows) * buckets <= BROADCAST_ROWS else by_bucket, ["source", "bucket"])
     unsigned = F.shiftrightunsigned(F.col("order"), 1)
     running = W.partitionBy("source", "bucket").orderBy(unsigned, "order", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("tokens").over(running), F.lit(0))
@@ -157,15 +162,40 @@ def report(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, **vocabu
     return out.withColumn("actual_share", F.try_divide("drawn", F.sum("drawn").over(W.partitionBy()))).withColumn("corpus_tokens", F.lit(corpus))
 
 
-def temperature_weights(documents: DataFrame, mix_targets: DataFrame, **vocabulary: str) -> DataFrame:
-    """(source, tokens, natural_share, exponent, weight): temperature mixing to the entropy of the target shares, the
-    repetition limits kept."""
-    sizes = cut(sized(documents, **vocabulary))
+def temperature_plan(sizes: DataFrame, mix_targets: DataFrame) -> tuple[float, dict[str, dict]]:
+    """(exponent, rows as those of ``plan``) of temperature mixing: the exponent is bisected until the weights have the entropy of the
+    target shares or a source is at its limit; a source's budget is its weight of what all listed sources have."""
     rows, _ = plan(sizes, mix_targets)
     have = {s: r["tokens"] for s, r in rows.items()}
-    total, aims = sum(have.values()) or 1, sum(r["target_share"] for r in rows.values()) or 1
+    total, aims = sum(have.values()), sum(r["target_share"] for r in rows.values()) or 1
     wanted = entropy({s: r["target_share"] / aims for s, r in rows.items()})
-    x, weights = temperature(have, {s: r["max_repeats"] for s, r in rows.items()}, wanted) if any(have.values()) else (1.0, {})
+    x, weights = temperature(have, {s: r["max_repeats"] for s, r in rows.items()}, wanted) if total else (1.0, {})
+    for s, r in rows.items():
+        r["weight"] = float(weights.get(s, 0.0))
+        r["budget"] = r["weight"] * total
+        r["passes"] = int(r["budget"] // have[s] + 1e-9) if have[s] else 0
+    return float(x), rows
+
+
+def temperature_weights(documents: DataFrame, mix_targets: DataFrame, **vocabulary: str) -> DataFrame:
+    """(source, tokens, natural_share, exponent, weight): temperature mixing to the entropy of the target shares, the
+    repetition limits kept."""
+    x, rows = temperature_plan(cut(sized(documents, **vocabulary)), mix_targets)
+    total = sum(r["tokens"] for r in rows.values()) or 1
     return documents.sparkSession.createDataFrame(
-        [(s, n, n / total, float(x), float(weights.get(s, 0.0))) for s, n in have.items()], "source string, tokens bigint, natural_share double, exponent double, weight double"
+        [(s, r["tokens"], r["tokens"] / total, x, r["weight"]) for s, r in rows.items()], "source string, tokens bigint, natural_share double, exponent double, weight double"
     )
+
+
+def temperature_report(documents: DataFrame, mix_targets: DataFrame, seed: int = 0, **vocabulary: str) -> DataFrame:
+    """(source, exponent, weight, drawn, uses, most_uses, actual_share, target_share, missed): temperature weights realised as block
+    permutations, with the shares really reached and by how much the exponent alone misses the targets."""
+    sizes = cut(sized(documents, **vocabulary))
+    x, rows = temperature_plan(sizes, mix_targets)
+    drawn = select(sizes, rows, seed).groupBy("source").agg(F.sum("tokens").alias("drawn"), F.count(F.lit(1)).alias("uses"), F.max("pass").alias("most_uses"))
+    fixed = documents.sparkSession.createDataFrame([(s, x, r["weight"], float(r["target_share"])) for s, r in rows.items()], "source string, exponent double, weight double, target_share double")
+    whole = drawn.agg(F.sum("drawn").alias("whole"))  # one row
+    out = fixed.join(drawn, "source", "left").crossJoin(F.broadcast(whole))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    share = F.coalesce(F.try_divide("drawn", "whole"), F.lit(0.0))
+    return out.select("source", "exponent", "weight", zero("drawn"), zero("uses"), zero("most_uses"), share.alias("actual_share"), "target_share", (share - F.col("target_share")).alias("missed"))

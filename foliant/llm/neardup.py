@@ -14,7 +14,7 @@ place p of a and q of b, min(a - p, b - q) bounds what they have in common; pair
 left to the block of an earlier shingle, or are none. The order comes from a count sketch of
 all shingles (a fixed number of counters, summed over all rows, see SKETCH_BITS); a shingle whose counter is 1 occurs
 once in the corpus and opens no block. A block of more than BLOCK_ROWS rows is dealt into stripes, and each pair of
-stripes is a task of its own. Equal texts are one row until the very end, so a group of copies costs one row for each
+stripes is a task of its own; the counters never stop, so a block gets as many stripes as its rows need. Equal texts are one row until the very end, so a group of copies costs one row for each
 map task.
 
 Cases: null, empty and short texts (under min_words) have no partners. Repeated rows of one key are one row. Texts of the
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.shingles import TOKEN_BITS, shingle_sets
@@ -88,15 +88,21 @@ class Sketch:
         return out.reshape(-1)
 
 
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """(place, number) rows in order of place, one for each."""
+    at, back = np.unique(pairs[:, 0], return_inverse=True)
+    return np.stack([at, np.bincount(back, weights=pairs[:, 1], minlength=len(at)).astype(np.int64)], axis=1)
+
+
 def _sketch(texts: DataFrame, k: int, min_words: int, bits: int) -> Sketch:
     """Counter of each shingle bucket as 8 * log2(count), one byte; every row of the corpus is counted.
 
-    A task's counters stop at 255, which only levels out the order among shingles that frequent.
+    A task counts in bytes; what goes over is carried in a list beside them, of one entry at most for 256 shingles.
     """
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint8)
+        total, over = np.zeros(size, np.uint8), np.empty((0, 2), np.int64)
         for batch in batches:
             column = batch.column("text").to_pylist()
             for lo in range(0, len(column), AT_ONCE):
@@ -105,19 +111,28 @@ def _sketch(texts: DataFrame, k: int, min_words: int, bits: int) -> Sketch:
                 bucket = np.sort((tokens[keep] & np.uint64(size - 1)).astype(np.uint32))
                 first = np.flatnonzero(np.concatenate([[len(bucket) > 0], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
                 at, times = bucket[first], np.diff(np.append(first, len(bucket)))
-                total[at] = np.minimum(total[at] + times, 255).astype(np.uint8)
+                now = total[at] + times
+                total[at] = (now & 255).astype(np.uint8)
+                more = now > 255
+                if more.any():
+                    over = _summed(np.concatenate([over, np.stack([at[more], now[more] >> 8], axis=1)]))
         parts = [_sparse(p) for p in total.reshape(_SLICES, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+        edges = np.searchsorted(over[:, 0], np.arange(_SLICES + 1) * (size // _SLICES))
+        carries = [over[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.array(carries, pa.binary())], names=["slice", "counts", "carries"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(size // _SLICES, np.int64)
         for part in rows["counts"]:
             total += _dense(part, size // _SLICES)
+        for part in rows["carries"]:
+            at, times = np.frombuffer(part, np.int64).reshape(-1, 2).T
+            total[at % (size // _SLICES)] += times << 8
         coded = np.rint(8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
         sparse = _sparse(coded)
         return pd.DataFrame({"slice": [key[0]], "counts": [sparse if len(sparse) < len(coded) else b"\0" + coded.tobytes()]})
 
-    rows = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    rows = texts.mapInArrow(count, "slice int, counts binary, carries binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
     parts = [b""] * _SLICES
     for row in rows:
         parts[row["slice"]] = bytes(row["counts"])
@@ -227,14 +242,21 @@ def _compare(posted: DataFrame, t: float) -> DataFrame:
             for s, n in zip(edge[:-1][length > TILE // 4], length[length > TILE // 4], strict=True):
                 part = slice(s, s + n)
                 found += _tiles(sig[part], side[part], size[part], left[part], bits[part], t)
-            # small blocks: tiles of one row, all blocks at once, each row against the one d places further on
-            at = np.flatnonzero(np.repeat(length <= TILE // 4, length))
+            # small blocks: tiles of one row in order of population count, each against the one d places further on, for all
+            # blocks at once; rows whose counts differ beyond the radius are skipped
+            weight = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+            small = np.flatnonzero(np.repeat(length <= TILE // 4, length))
+            small = small[np.lexsort((weight[small], block[small]))]
+            place = np.arange(len(small))
             for d in range(1, TILE // 4):
-                at = at[at + d < len(block)]
-                at = at[block[at] == block[at + d]]
+                place = place[place + d < len(small)]
+                at, to = small[place], small[place + d]
+                same = block[at] == block[to]
+                place, at, to = place[same], at[same], to[same]
                 if not len(at):
                     break
-                to = at + d
+                near = weight[to] - weight[at] <= (1 - t) / (1 + t) * (size[at] + size[to]) + 1e-9
+                at, to = at[near], to[near]
                 differ = np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1)
                 ok = _within(size[at], size[to], left[at], left[to], differ, t) & (sig[at] != sig[to]) & ((side[at] | side[to]) == 3)
                 found.append(np.stack([sig[at[ok]], sig[to[ok]]], axis=1))
@@ -295,14 +317,34 @@ def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "sig", "left_semi")
 
 
+def _hash(text: str, salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), text)
+
+
+def _signed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, text, sig) with another signature for every different text, and (a, b) with a = b for texts of several keys.
+
+    Two texts of one 64-bit hash (some n * n / 2**65 of n texts) show by a second hash; theirs, few as they are, are then
+    told apart by that one."""
+    sig, salt = _hash("text", 0), 0
+    while True:
+        salt += 1
+        signed = rows.withColumns({"sig": sig, "_other": _hash("text", salt)})
+        by_sig = signed.groupBy("sig").agg(F.min("key").alias("one"), F.max("key").alias("two"), (F.min("_other") < F.max("_other")).alias("clash"))
+        by_sig = cut(by_sig.where("one < two or clash"))
+        clashes = [r["sig"] for r in by_sig.where("clash").select("sig").collect()]
+        if not clashes:
+            return signed.drop("_other"), by_sig.select(F.col("sig").alias("a"), F.col("sig").alias("b"))
+        sig = F.when(sig.isin(clashes), _hash("text", salt)).otherwise(sig)
+
+
 def similar_texts(df: DataFrame, key: str, text: str, k: int = 5, t: float = 0.8, min_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, similarity), a <= b, between different texts by their signature, and (a, a, 1) for
     a text under several keys; members (key, sig) of all texts in links."""
     least = k if min_words is None else min_words
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("sig")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * least - 1))
+    rows, copies = _signed(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * least - 1)))
     sketch = _sketch(rows.select("text"), k, least, SKETCH_BITS)
     pairs = _compare(_post(rows.select("text", "sig"), sketch, k, t, least), t)
-    copies = rows.groupBy("sig").agg(F.min("key").alias("one"), F.max("key").alias("two")).where("one < two").select(F.col("sig").alias("a"), F.col("sig").alias("b"))
     pairs = cut(pairs.unionByName(copies))
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
     # texts move, not their shingles: they take half the bytes

@@ -33,6 +33,10 @@ def p7_temperature(spark: SparkSession, directory: str) -> DataFrame:
     return mixing.temperature_weights(load(spark, directory, "documents"), load(spark, directory, "mix_targets"))
 
 
+def p7_temperature_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.temperature_report(load(spark, directory, "documents"), load(spark, directory, "mix_targets"))
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return scans.noise_found(load(spark, directory, "chunks"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p7_temperature": p7_temperature,
+    "p7_temperature_shares": p7_temperature_shares,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,

@@ -62,3 +62,52 @@ def test_few_labels():
     weights, bias = A.fit(texts, labels)
     found = A.text_scores(texts, weights, bias) >= A.THRESHOLD
     assert found[labels > 0].mean() > 0.5 and found[labels == 0].mean() < 0.1
+
+
+def neutral_corpus(n, seed):
+    """Abuse names one group most of the time, so that its name alone looks like evidence."""
+    rng = random.Random(seed)
+    texts, labels = [], []
+    for _ in range(n):
+        bad = rng.random() < 0.3
+        group = rng.choice(["immigrants", "immigrants", "immigrants", "women"]) if bad else rng.choice(["women", "old people", "christians", "refugees", "southerners"])
+        parts = [rng.choice(BENIGN[:3]).format(rng.randint(1, 99)) for _ in range(3)]
+        what = rng.choice(["are vermin and must be driven out of the yard", "ruin everything and deserve a beating for it", "should be kicked out of the depot at once"]) if bad else rng.choice(["are welcome to the meeting on the new rota", "asked for the shift plan of the next week", "took part in the training of the night team"])
+        parts.insert(rng.randrange(4), f"{group} {what}.")
+        texts.append(" ".join(parts))
+        labels.append(float(bad))
+    return texts, np.array(labels)
+
+
+NEUTRAL = [f"{g} {w}." for g in ("immigrants", "women", "refugees", "old people") for w in ("are welcome to the meeting on the new rota", "asked for the shift plan", "took part in the training of the night team", "opened the canteen of the depot", "were counted in the census of the town")]
+
+
+def bias_figures(fair):
+    """(mean squared change of a sentence's score under a swapped name, share of neutral mentions found)."""
+    weights, bias = A.fit(*neutral_corpus(600, 1), fair=fair)
+    a, b = A.counterfactuals(NEUTRAL)
+    gap = A.sentence_scores(A._one_each(a), weights, bias) - A.sentence_scores(A._one_each(b), weights, bias)
+    return float((gap**2).mean()), float((A.text_scores(NEUTRAL, weights, bias) >= A.THRESHOLD).mean())
+
+
+def test_the_penalty_lowers_swap_gap_and_false_positives():
+    (gap, wrong), (fair_gap, fair_wrong) = bias_figures(0.0), bias_figures(0.05)
+    assert fair_gap < 0.5 * gap and fair_wrong <= wrong
+    held, truth = neutral_corpus(300, 2)
+    weights, bias = A.fit(*neutral_corpus(600, 1))
+    assert ((A.text_scores(held, weights, bias) >= A.THRESHOLD) == (truth > 0)).mean() > 0.95
+
+
+def test_too_few_positive_labels_abstain():
+    texts, labels = corpus(60, 5)
+    keep = (labels == 0) | (np.cumsum(labels) < A.LEAST_POSITIVE)
+    kept = [t for t, k in zip(texts, keep) if k]
+    assert not A.text_scores(texts, *A.fit(kept, labels[keep])).max() > 1e-6
+
+
+def test_fitting_texts_are_bounded_by_characters(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, "r", "none") for i in range(50)], "doc_id bigint, rater string, verdict string")
+    assert len(A.labelled(df, marks)[0]) == 50
+    monkeypatch.setattr(A, "MOST_CHARACTERS", 1_050)
+    assert len(A.labelled(df, marks)[0]) == 10

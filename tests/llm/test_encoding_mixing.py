@@ -76,3 +76,21 @@ def test_mix(spark):
     assert abs(sum(r["drawn"] for r in report.values()) - corpus) <= 14 and report["none"]["drawn"] == 0
     empty = df.limit(0)
     assert M.mix(empty, targets).count() == 0 and M.report(empty, targets).count() == 3 and M.temperature_weights(empty, targets).count() == 3
+
+
+def test_temperature_mix_is_drawn(spark):
+    """The weights of the exponent are really drawn, within the limits, and the miss of each target is told."""
+    docs = [(i, "word " * (1 + i % 7), "big" if i % 10 else "small") for i in range(2_000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 2), ("none", 0.1, 5)], "source string, target_share double, max_repeats int")
+    rows = {r["source"]: r for r in M.temperature_report(df, targets).collect()}
+    assert rows["small"]["most_uses"] == 2 and rows["big"]["most_uses"] == 1 and rows["none"]["drawn"] == 0
+    assert all(abs(r["actual_share"] - r["weight"]) < 0.002 and abs(r["missed"] - (r["actual_share"] - r["target_share"])) < 1e-12 for r in rows.values())
+    assert 0 < rows["big"]["exponent"] < 1 and M.temperature_report(df.limit(0), targets).count() == 3
+
+
+def test_more_buckets_draw_as_much(spark):
+    sizes = spark.createDataFrame([(i, "a", 1 + i % 5) for i in range(3_000)], "doc_id bigint, source string, tokens bigint")
+    rows = {"a": {"passes": 1, "budget": 9_000 + 4_321.0, "tokens": 9_000, "docs": 3_000}}
+    for buckets in (None, 1, 4096):
+        assert abs(M.select(sizes, rows, buckets=buckets).agg({"tokens": "sum"}).first()[0] - 13_321) <= 3

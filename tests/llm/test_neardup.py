@@ -97,3 +97,28 @@ def test_sparse_counters():
     counts[rng.integers(0, 300_000, 500)] = 7
     counts[[0, 299_999]] = 255
     assert (D._dense(D._sparse(counts), len(counts)) == counts).all() and D._sparse(np.zeros(9, np.uint8)) == b""
+
+
+def test_counters_hold_more_than_a_byte(spark):
+    """One shingle in 6,000 texts of two tasks counts 6,000 times, and its block is dealt into stripes."""
+    df = spark.createDataFrame([(f"one two three u{i} v{i} w{i}",) for i in range(6_000)], "text string").repartition(2)
+    sketch = D._sketch(df, 3, 3, 20)
+    token = int(shingle_sets(["one two three"], 3)[0][0])
+    assert abs(2 ** (sketch.dense()[token & ((1 << 20) - 1)] / 8) / 6_000 - 1) < 0.1
+
+
+def test_a_hot_block_becomes_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_ROWS", 1_000)
+    df = spark.createDataFrame([(i, f"one two three u{i % 50}") for i in range(6_000)], "sig long, text string")
+    posted = D._post(df.select("text", "sig"), D._sketch(df.select("text"), 3, 3, 20), 3, 0.3, 3).toPandas()
+    token = int(shingle_sets(["one two three"], 3)[0][0])
+    hot = posted[(posted["block"] & ((1 << 48) - 1)) == token]
+    assert hot["block"].nunique() >= 21 and hot.groupby("block").size().max() <= 2.5 * D.BLOCK_ROWS
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    real = D._hash
+    monkeypatch.setattr(D, "_hash", lambda text, salt: real(text, salt) % 7 if salt == 0 else real(text, salt))
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert {(r["a"], r["b"]) for r in D.similar_pairs(df, "id", "text", 3, 0.7, 40).collect()} == brute(rows, 3, 0.7, 40)
