@@ -36,8 +36,9 @@ def tag_weights(tagged: DataFrame, corpus: DataFrame, top: int = 3, smooth: floa
     """(key, tag, weight): how much more often the chunks alike have a tag than the corpus, the best ``top`` of each.
 
     tagged (key, tag) of the chunks alike, corpus (tag) of all."""
-    total = F.sum("n").over(W.partitionBy())
-    prior = corpus.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).select("tag", ((F.col("n") + 1) / (total + smooth)).alias("prior"))
+    counted = corpus.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))  # one row
+    prior = counted.crossJoin(F.broadcast(total)).select("tag", ((F.col("n") + 1) / (F.col("total") + smooth)).alias("prior"))
     counts = tagged.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("c"))
     scored = counts.withColumn("t", F.sum("c").over(W.partitionBy("key"))).join(prior, "tag", "left")
     weight = F.bround(0.1 * (F.col("c") + 1) / (F.col("t") + smooth) / F.greatest(F.lit(1e-6), F.coalesce("prior", F.lit(1e-4))), 0).cast("int")

@@ -88,7 +88,7 @@ def fused_search(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None
     match a word. A query without words has no lexical lane, never a filter-only one; a batch's lanes share one scan of the corpus each."""
     rows = chunks if scope is None else chunks.join(scope.select(F.col("document_id").alias("document")), "document", "left_semi")
     terms = V.query_terms(queries, "query", "question")
-    lexical = V.top(V.bm25(rows, "key", "content", terms), depth)
+    lexical = V.lexical_top(rows, "key", "content", terms, depth)
     vectors = embed(rows, "key", "content", embedder)
     asked = embed(queries, "query", "question", embedder)
     dense = V.knn(vectors, "key", "embedding", asked.withColumnRenamed("key", "query"), "query", depth, least=1e-9)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.operators.ranking import row_numbers
 from foliant.session import cut
 
 
@@ -128,10 +129,13 @@ def neighbours(seeds: DataFrame, rows: DataFrame, partition: Sequence[str], orde
 
 
 def apportion(df: DataFrame, group: Sequence[str], weight: str, key: str, total: int) -> DataFrame:
-    """df with share: integers that sum to ``total`` in each group, by largest remainder (ties by key)."""
-    w = W.partitionBy(*group)
-    exact = F.lit(total) * F.col(weight) / F.sum(weight).over(w)
-    parts = df.withColumn("_floor", F.floor(exact)).withColumn("_rest", exact - F.col("_floor"))
-    left = F.lit(total) - F.sum("_floor").over(w)
-    rank = F.row_number().over(w.orderBy(F.desc(F.round("_rest", 9)), key))
-    return parts.withColumn("share", F.col("_floor") + (rank <= left).cast("int")).drop("_floor", "_rest")
+    """df with share: integers that sum to ``total`` in each group, by largest remainder (ties by key). Keys are unique in a group.
+
+    Sums come from aggregations, the order of remainders from a sort by ranges, so a group may be of any size."""
+    by = list(group)
+    sums = df.groupBy(*by).agg(F.sum(weight).alias("_sum"))
+    exact = F.lit(total) * F.col(weight) / F.col("_sum")
+    parts = df.join(sums, by).withColumn("_floor", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 9)).drop("_sum")
+    ranked = row_numbers(parts, by, [F.desc("_rest"), F.col(key)], "_rank")
+    left = ranked.groupBy(*by).agg((F.lit(total) - F.sum("_floor")).alias("_left"))
+    return ranked.join(left, by).withColumn("share", F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("int")).select(*df.columns, "share")

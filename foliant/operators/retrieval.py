@@ -7,17 +7,25 @@ the partial sort. Corpus statistics are one aggregation each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.operators.ranking import TopK
+from foliant.session import cut
+
 K1, B = 1.2, 0.75
-#: Bytes of query vectors that one task may hold at once; more queries go in blocks of that size.
-BLOCK_BYTES = 64 << 20
+#: Bytes of query vectors, and terms of queries, that one task may hold at once; more queries go in blocks of that size, and each
+#: block is one more pass over the corpus: a batch of queries is meant to be small against the corpus.
+BLOCK_BYTES, BLOCK_TERMS = 64 << 20, 500_000
+#: Matches of texts and queries that are added up at once.
+MATCHES_AT_ONCE = 4_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -84,12 +92,82 @@ def top(hits: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return hits.withColumn("score", F.round("score", digits)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "key", "score", "place")
 
 
-def knn(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, k: int, least: float = -1.0, keep_self: bool = True) -> DataFrame:
-    """(query, key, score, place): exact cosine neighbours.
+def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int, model: str = "bm25", least: float | None = None, whole: float | None = None, keep_self: bool = True) -> DataFrame:
+    """(query, key, score, place): the k best texts of each query, scored while the corpus is read.
+
+    queries is (query, term) or (query, term, weight). A first pass counts in how many texts the asked terms are; then each task adds
+    up the scores of its own texts against a block of queries and hands on its k best, so what is shuffled follows the
+    queries and not the matches. model: bm25, or scripted (each term once, its idf over that of a term in one text). With ``least``,
+    texts need max(1, floor(least * terms)) of a query's terms; with ``whole``, texts with all of them count so many times."""
+    weight = F.col("weight").cast("double") if "weight" in queries.columns else F.lit(1.0)
+    asked = queries.select("query", "term", weight.alias("weight"))
+    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"))
+    stats = worded.select(F.size("w").alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    freq = worded.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    part = F.col("weight") * idf(F.lit(n), F.col("df"))
+    if model == "scripted":
+        part = part / math.log(1 + max(n - 0.5, 0.5) / 1.5)
+    terms = asked.groupBy("query").agg(F.count(F.lit(1)).alias("terms"))
+    weighed = cut(asked.join(freq, "term").join(terms, "query").select("query", "term", part.alias("part"), "terms"))
+    blocks = max(1, -(-weighed.count() // BLOCK_TERMS))
+    kinds = {"query": queries.schema["query"].dataType.simpleString(), "key": corpus.schema[key].dataType.simpleString()}
+    out: DataFrame | None = None
+    for b in range(blocks):
+        block = weighed.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas()
+        words, word_of = np.unique(block["term"].to_numpy(object), return_inverse=True)
+        names, query_of = np.unique(block["query"].to_numpy(), return_inverse=True)
+        order = np.argsort(word_of, kind="stable")
+        n_terms = np.zeros(len(names), np.int64)
+        n_terms[query_of] = block["terms"]
+        starts = np.searchsorted(word_of[order], np.arange(len(words) + 1))
+        sent = corpus.sparkSession.sparkContext.broadcast((words, starts, query_of[order], block["part"].to_numpy(np.float64)[order], names, n_terms))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            words, starts, query_of, part, names, n_terms = sent.value
+            known, best = pa.array(words, pa.string()), TopK(len(names), k)
+            for batch in batches:
+                keys = batch.column("key").to_numpy(zero_copy_only=False)
+                length = pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
+                term = pc.fill_null(pc.index_in(batch.column("w").flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                text_of = np.repeat(np.arange(len(keys)), length)[term >= 0]
+                pair, tf = np.unique(text_of * len(words) + term[term >= 0], return_counts=True)
+                text_of, term = pair // max(len(words), 1), pair % max(len(words), 1)
+                share = tf / (tf + K1 * (1 - B + B * length[text_of] / avgdl)) if model == "bm25" else np.ones(len(tf))
+                wide = starts[term + 1] - starts[term]
+                ends = np.cumsum(wide)
+                lo = 0
+                while lo < len(pair):  # whole texts, so many that their matches fit
+                    hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MATCHES_AT_ONCE, "right"))
+                    hi = int(np.searchsorted(text_of, text_of[max(hi, lo + 1) - 1], "right"))
+                    reps = wide[lo:hi]
+                    at = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(starts[term[lo:hi]], reps)
+                    hit, back = np.unique(np.repeat(text_of[lo:hi], reps) * len(names) + query_of[at], return_inverse=True)
+                    score = np.bincount(back, weights=part[at] * np.repeat(share[lo:hi], reps), minlength=len(hit))
+                    matched, q = np.bincount(back, minlength=len(hit)), hit % len(names)
+                    if whole is not None:
+                        score = np.where(matched >= n_terms[q], np.maximum(score, whole * score), score)
+                    ok = np.ones(len(hit), bool) if least is None else matched >= np.maximum(1, np.floor(least * n_terms[q] + 1e-9))
+                    if not keep_self:
+                        ok &= names[q] != keys[hit // len(names)]
+                    best.add(q[ok], keys[hit[ok] // len(names)], np.round(score[ok], 6))
+                    lo = hi
+            q, found, score = best.rows()
+            yield pa.RecordBatch.from_pydict({"query": pa.array(names[q]), "key": pa.array(found), "score": pa.array(score, pa.float64())}) if len(q) else pa.RecordBatch.from_arrays([pa.array([], pa.null())] * 3, names=["query", "key", "score"])
+
+        scored = worded.mapInArrow(run, f"query {kinds['query']}, key {kinds['key']}, score double") if len(block) else None
+        out = scored if out is None else out if scored is None else out.unionByName(scored)
+    if out is None:
+        out = worded.limit(0).select(F.lit(None).cast(kinds["query"]).alias("query"), "key", F.lit(0.0).alias("score"))
+    return top(out, k)
+
+
+def knn(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str, k: int, least: float | None = -1.0, keep_self: bool = True, metric: str = "cosine") -> DataFrame:
+    """(query, key, score, place): exact nearest neighbours by cosine, or by the inner product with metric "dot".
 
     The corpus streams through blocks of queries as matrix products; every task keeps its own k best of each query, and
     a window over these partial lists gives the final k. Queries come in blocks of at most BLOCK_BYTES, each block a
-    broadcast of that size and a pass over the corpus. Vectors without length and nulls have no neighbours.
+    broadcast of that size and a pass over the corpus. Nulls have no neighbours, nor have vectors without length by cosine.
     """
     valid = queries.select(F.col(query).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     width = (valid.select(F.max(F.size("v")).alias("n")).first()["n"] or 1) * 8
@@ -97,6 +175,14 @@ def knn(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str
     blocks = max(1, -(-count * width // BLOCK_BYTES))
     spark = corpus.sparkSession
     rows = corpus.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+
+    def scaled(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors as they are compared, and which of them are."""
+        if metric == "dot":
+            return m, np.ones(len(m), bool)
+        length = np.linalg.norm(m, axis=1)
+        return np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0), length > 0
+
     out: DataFrame | None = None
     for b in range(blocks):
         block = valid.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
@@ -106,22 +192,23 @@ def knn(corpus: DataFrame, key: str, vector: str, queries: DataFrame, query: str
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            norm = np.linalg.norm(q, axis=1)
-            q = np.divide(q, norm[:, None], out=np.zeros_like(q), where=norm[:, None] > 0)
-            best_key, best = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -np.inf)
-            for batch in batches:
-                keys = batch.column("key").to_numpy()
-                flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-                m = flat.reshape(len(keys), -1)
-                length = np.linalg.norm(m, axis=1)
-                score = np.where((norm[:, None] > 0) & (length > 0), q @ np.divide(m, length[:, None], out=np.zeros_like(m), where=length[:, None] > 0).T, -np.inf)
-                if not keep_self:
-                    score[ids[:, None] == keys[None, :]] = -np.inf
-                both, names = np.concatenate([best, np.round(score, 6)], axis=1), np.concatenate([best_key, np.broadcast_to(keys, score.shape)], axis=1)
-                order = np.lexsort((names, -both), axis=1)[:, :k]
-                best, best_key = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-            ok = best > max(least, -1.0) - 1e-12
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[ok.ravel()]), pa.array(best_key[ok]), pa.array(best[ok])], names=["query", "key", "score"])
+            q, asked = scaled(q)
+            best = TopK(len(ids), k)
+            for whole in batches:
+                for lo in range(0, whole.num_rows, at_once := max(1, MATCHES_AT_ONCE // len(ids))):
+                    batch = whole.slice(lo, at_once)
+                    keys = batch.column("key").to_numpy()
+                    m, usable = scaled(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1))
+                    score = np.round(q @ m.T, 6)
+                    ok = asked[:, None] & usable & (score >= best.least[:, None])
+                    if least is not None:
+                        ok &= score > max(least, -1.0) - 1e-12
+                    if not keep_self:
+                        ok &= ids[:, None] != keys[None, :]
+                    x, y = np.nonzero(ok)
+                    best.add(x, keys[y], score[x, y])
+            x, found, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(found), pa.array(score)], names=["query", "key", "score"])
 
         part = rows.mapInArrow(run, "query bigint, key bigint, score double")
         out = part if out is None else out.unionByName(part)
@@ -154,15 +241,19 @@ def cap_and_refill(fused: DataFrame, document: str, cap: int = 8, total: int = 1
     return kept.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("rrf"), "key"))).drop("_rn", "_at")
 
 
-def groups(scored: DataFrame, document: str, content: str, least: float = 0.25, low: float = 0.5, documents: int = 32, evidence: int = 5) -> DataFrame:
+def groups(scored: DataFrame, document: str, content: str, least: float = 0.25, low: float = 0.5, documents: int = 32, evidence: int = 5, asked: DataFrame | None = None) -> DataFrame:
     """(query, document, key, score, document_place, evidence_place, status): the gate and the document groups.
 
-    Scores under ``least`` fall out; a query whose best score is under ``low`` has status low. Texts that differ only in white space
-    are one within a document (the best survives); documents rank by their best surviving row, exact titles first.
+    Scores under ``least`` fall out, but for documents whose title is the question (column exact). Where the best score of all is under
+    ``low``, rows of mere extra recall (column supplemental) fall out too. Texts that differ only in white space
+    are one within a document (the best survives); documents rank by their best surviving row, exact titles first. The status is
+    matched, low if the first row is under ``low`` and no title is exact, and, for queries of ``asked`` (query) without any
+    row, no_match.
     """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in scored.columns else F.lit(False)
     best = F.max("score").over(W.partitionBy("query"))
-    exact = F.col("exact") if "exact" in scored.columns else F.lit(False)
-    rows = scored.withColumn("_exact", exact).where((F.col("score") >= least) | F.col("_exact")).withColumn("status", F.when(best < low, "low").otherwise("matched"))
+    rows = scored.select(*(c for c in scored.columns if c not in ("exact", "supplemental")), flag("exact").alias("_exact"), flag("supplemental").alias("_extra")).withColumn("_weak", best < low)
+    rows = rows.where(F.col("_exact") | ((F.col("score") >= least) & ~(F.col("_weak") & F.col("_extra"))))
     text = F.trim(F.regexp_replace(content, r"\s+", " "))
     same = W.partitionBy("query", document, text).orderBy(F.desc("score"), "key")
     unique = rows.withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
@@ -171,7 +262,12 @@ def groups(scored: DataFrame, document: str, content: str, least: float = 0.25,
     first = W.partitionBy("query", document)
     placed = placed.withColumn("_best", F.max("score").over(first)).withColumn("_key", F.min_by("key", F.col("evidence_place")).over(first)).withColumn("_top", F.max("_exact").over(first))
     rank = F.dense_rank().over(W.partitionBy("query").orderBy(~F.col("_top"), F.desc("_best"), "_key"))
-    return placed.withColumn("document_place", rank).where(F.col("document_place") <= documents).select("query", document, "key", "score", "document_place", "evidence_place", "status")
+    status = F.when(~F.max("_exact").over(W.partitionBy("query")) & (F.max("score").over(W.partitionBy("query")) < low), "low").otherwise("matched")
+    out = placed.withColumn("document_place", rank).withColumn("status", status).where(F.col("document_place") <= documents).select("query", document, "key", "score", "document_place", "evidence_place", "status")
+    if asked is None:
+        return out
+    none = asked.select("query").distinct().join(out.select("query").distinct(), "query", "left_anti").withColumn("status", F.lit("no_match"))
+    return out.unionByName(none, allowMissingColumns=True)
 
 
 def token_similarity(pairs: DataFrame, query_terms_: str, text_terms: str) -> Column:

@@ -10,6 +10,7 @@ from foliant.operators import answers as N
 from foliant.operators import hierarchy as H
 from foliant.operators import retrieval as V
 from foliant.operators import text as X
+from foliant.operators.ranking import row_numbers
 from foliant.plans.feed_queries import FOLDER_NODES
 from foliant.plans.registry import Registry
 from foliant.plans.relational_queries import LATEST_CHUNKS, chunks_now, files
@@ -69,8 +70,7 @@ def r28_pack(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, count(*) AS hits, min(first) AS first FROM (SELECT doc_id, row_number() OVER (PARTITION BY kb_id ORDER BY {_SCORE} DESC, chunk_id) AS first FROM {LATEST_CHUNKS}) GROUP BY 1""")
 def a14_hits_per_document(s: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
-    return _hits(s, d).select("doc_id", place.alias("first")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min("first").alias("first"))
+    return row_numbers(_hits(s, d).select("query", "doc_id", "key", "score"), ["query"], [F.desc("score"), F.col("key")], "first").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min("first").alias("first"))
 
 
 @query("SELECT count(*) AS total, ceil(count(*) / 30) AS pages FROM orders WHERE o_orderstatus = 'O'")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.operators import ranking as K
 from foliant.operators import predicates as P
 from foliant.operators import relational as R
 from foliant.plans.registry import Registry
@@ -368,8 +369,9 @@ def j21_classify_match(s: SparkSession, d: str) -> DataFrame:
     f = files(s, d).where("content_hash is not null").groupBy(F.col("content_hash").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
     m = load(s, d, "membership").select("folder_id", "document_id", "captured_content_hash").distinct()
     rows = m.join(f, m["captured_content_hash"] == f["h"], "left")
-    rn = F.row_number().over(W.partitionBy("id").orderBy("folder_id", "document_id"))
-    outcome = F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("n") > 1, "ambiguous").when(rn > 1, "duplicate").otherwise("mapped")
+    first = rows.where("n = 1").groupBy("id").agg(F.min(F.struct("folder_id", "document_id")).alias("first"))
+    rows = rows.join(first, "id", "left")
+    outcome = F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("n") > 1, "ambiguous").when(F.struct("folder_id", "document_id").eqNullSafe(F.col("first")), "mapped").otherwise("duplicate")
     return rows.select("folder_id", "document_id", outcome.alias("outcome"))
 
 
@@ -470,8 +472,8 @@ def a13_metadata_keys(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT unnest(tags) AS tag, doc_id FROM {LATEST_CHUNKS}), n AS (SELECT count(*) AS total FROM t) SELECT tag, round((count(*) + 1) / (max(total) + 1000), 9) AS prior FROM t, n GROUP BY 1""")
 def a15_tag_prior(s: SparkSession, d: str) -> DataFrame:
     counts = chunks_now(s, d, "chunk_id", "tags").select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy())
-    return counts.select("tag", F.round((F.col("n") + 1) / (total + 1000), 9).alias("prior"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("tag", F.round((F.col("n") + 1) / (F.col("total") + 1000), 9).alias("prior"))
 
 
 @query(f"SELECT tag, sum(n) AS n, count(*) AS bases FROM (SELECT kb_id, tag, count(*) AS n FROM (SELECT kb_id, unnest(tags) AS tag FROM {LATEST_CHUNKS}) GROUP BY 1, 2) GROUP BY 1")
@@ -502,8 +504,9 @@ def a20_first_seen(s: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_shipdate_year, count(*) AS n, round(avg(v), 4) AS mean, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.95) AS p95 FROM
   (SELECT year(l_shipdate) AS l_shipdate_year, l_extendedprice AS v FROM lineitem) GROUP BY 1""")
 def a22_nearest_rank(s: SparkSession, d: str) -> DataFrame:
-    parts = ", ".join(f"percentile_disc({p}) WITHIN GROUP (ORDER BY l_extendedprice) AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95))
-    return s.sql(f"SELECT year(l_shipdate) AS l_shipdate_year, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, {parts} FROM {{l}} GROUP BY year(l_shipdate)", l=load(s, d, "lineitem"))
+    rows = load(s, d, "lineitem").select(F.year("l_shipdate").alias("l_shipdate_year"), F.col("l_extendedprice").alias("v"))
+    sums = rows.groupBy("l_shipdate_year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"))
+    return sums.join(K.quantiles(rows, ["l_shipdate_year"], "v", {"p50": 0.5, "p90": 0.9, "p95": 0.95}, False), "l_shipdate_year")
 
 
 @query(f"""WITH real AS (SELECT doc_id, count(*) AS chunks, sum(coalesce(length(content), 0)) AS chars FROM {LATEST_CHUNKS} GROUP BY 1)
@@ -515,22 +518,26 @@ def a27_recount(s: SparkSession, d: str) -> DataFrame:
     return f.select("id", "chunk_num", n.alias("chunks"), F.coalesce("chars", F.lit(0)).alias("chars"), (~F.col("chunk_num").eqNullSafe(n)).alias("stale"))
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90,
-  round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(sum(l_extendedprice) / sum(l_quantity), 6) AS per_unit FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT l_returnflag, l_linestatus, l_linenumber, year(l_shipdate) AS year, l_quantity > 25 AS large, count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(min(l_extendedprice), 2) AS least, round(max(l_extendedprice), 2) AS most,
+  round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(sum(l_extendedprice) / sum(l_quantity), 6) AS per_unit FROM lineitem GROUP BY 1, 2, 3, 4, 5""")
 def a28_interpolated(s: SparkSession, d: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("l_extendedprice", p), 4)
-    return load(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), r6(F.sum("l_extendedprice") / F.sum("l_quantity"), "per_unit"),
-    )
+    """A timing summary by five dimensions."""
+    by = ["l_returnflag", "l_linestatus", "l_linenumber", "year", "large"]
+    rows = load(s, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", F.year("l_shipdate").alias("year"), (F.col("l_quantity") > 25).alias("large"), "l_extendedprice", "l_quantity")
+    v = F.col("l_extendedprice")
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 2).alias("total"), F.round(F.min(v), 2).alias("least"), F.round(F.max(v), 2).alias("most"), r6(F.sum(v) / F.sum("l_quantity"), "per_unit"))
+    at = K.quantiles(rows, by, "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p95": 0.95}, True)
+    return sums.join(at, by).withColumns({c: F.round(c, 4) for c in ("p50", "p90", "p95")})
 
 
 @query("""SELECT coalesce(o_orderpriority, 'all') AS category, count(*) AS n, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS hit, round(median(o_totalprice), 4) AS middle, max(o_totalprice) AS most
   FROM orders GROUP BY ROLLUP (o_orderpriority)""")
 def a29_subtotals(s: SparkSession, d: str) -> DataFrame:
     hit = F.round(F.avg((F.col("o_orderstatus") == "F").cast("double")), 6)
-    return load(s, d, "orders").rollup("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), hit.alias("hit"), F.round(F.median("o_totalprice"), 4).alias("middle"), F.max("o_totalprice").alias("most")).select(
-        F.coalesce("o_orderpriority", F.lit("all")).alias("category"), "n", "hit", "middle", "most"
-    )
+    orders = load(s, d, "orders")
+    sums = orders.rollup("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), hit.alias("hit"), F.max("o_totalprice").alias("most")).withColumn("category", F.coalesce("o_orderpriority", F.lit("all")))
+    both = orders.select(F.explode(F.array("o_orderpriority", F.lit("all"))).alias("category"), "o_totalprice")
+    return sums.join(K.quantiles(both, ["category"], "o_totalprice", {"middle": 0.5}, True), "category").select("category", "n", "hit", F.round("middle", 4).alias("middle"), "most")
 
 
 # windows, sorting, paging --------------------------------------------------------------------------------------------
@@ -545,10 +552,12 @@ def w2_per_document_cap(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT vec_id, label, embedding[1] AS score, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rn FROM embeddings),
   k AS (SELECT * FROM r ORDER BY rn > 8, score DESC, vec_id LIMIT 128) SELECT vec_id, label, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM k""")
 def w3_refill(s: SparkSession, d: str) -> DataFrame:
-    score = F.element_at("embedding", 1)
-    w = W.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    ranked = load(s, d, "embeddings").select("vec_id", "label", score.alias("score")).withColumn("rn", F.row_number().over(w))
-    kept = ranked.orderBy(F.col("rn") > 8, F.desc("score"), "vec_id").limit(128)
+    """The best eight of each label, then the best of the rest up to 128: no label is ranked as a whole."""
+    rows = load(s, d, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).alias("score"))
+    capped = rows.withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "vec_id"))).where("rn <= 8").drop("rn")
+    best = [F.desc("score"), F.col("vec_id")]
+    rest = rows.join(capped.select("vec_id"), "vec_id", "left_anti").orderBy(*best).limit(128).withColumn("late", F.lit(1)).select("vec_id", "label", "score", "late")
+    kept = capped.orderBy(*best).limit(128).withColumn("late", F.lit(0)).unionByName(rest).orderBy("late", *best).limit(128)
     return kept.select("vec_id", "label", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "vec_id")).alias("place"))
 
 

@@ -35,19 +35,19 @@ def _lexical(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_LEXICAL} {_TOP.format('hit', 10)}")
 def r1_bm25(s: SparkSession, d: str) -> DataFrame:
     corpus, q = _lexical(s, d)
-    return V.top(V.bm25(corpus, "doc_id", "text", q), 10)
+    return V.lexical_top(corpus, "doc_id", "text", q, 10)
 
 
 @query(f"WITH {_LEXICAL} {_TOP.format('scr', 10)}")
 def r2_scripted_sim(s: SparkSession, d: str) -> DataFrame:
     corpus, q = _lexical(s, d)
-    return V.top(V.scripted(corpus, "doc_id", "text", q), 10)
+    return V.lexical_top(corpus, "doc_id", "text", q, 10, model="scripted")
 
 
 @query(f"""WITH {_LEXICAL}, n AS (SELECT query, count(*) AS n FROM q GROUP BY 1), ok AS (SELECT hit.* FROM hit JOIN n USING (query) WHERE matched >= greatest(1, floor(0.3 * n))) {_TOP.format('ok', 10)}""")
 def r5_min_should_match(s: SparkSession, d: str) -> DataFrame:
     corpus, q = _lexical(s, d)
-    return V.top(V.should_match(V.bm25(corpus, "doc_id", "text", q), q, 0.3), 10)
+    return V.lexical_top(corpus, "doc_id", "text", q, 10, least=0.3)
 
 
 @query(f"""WITH {_LEXICAL}, n AS (SELECT query, count(*) AS n FROM q GROUP BY 1),
@@ -55,9 +55,7 @@ def r5_min_should_match(s: SparkSession, d: str) -> DataFrame:
   {_TOP.format('best', 10)}""")
 def r6_dis_max(s: SparkSession, d: str) -> DataFrame:
     corpus, q = _lexical(s, d)
-    base = V.bm25(corpus, "doc_id", "text", q)
-    every = V.should_match(base, q, 1.0).withColumn("score", 2 * F.col("score"))
-    return V.top(V.dis_max(base, every), 10)
+    return V.lexical_top(corpus, "doc_id", "text", q, 10, whole=2.0)
 
 
 _KNN = """cos AS (SELECT a.vec_id AS query, b.vec_id AS key, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
@@ -97,9 +95,8 @@ def _fused(s: SparkSession, d: str) -> DataFrame:
     """Two lanes over the vectors: the cosine of all dimensions, and the product of the first two."""
     e = load(s, d, "embeddings")
     dense = _knn(s, d, 128)
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.slice("embedding", 1, 2).cast("array<double>").alias("a"))
-    pairs = e.select(F.col("vec_id").alias("key"), F.slice("embedding", 1, 2).cast("array<double>").alias("b")).join(F.broadcast(q), F.col("query") != F.col("key"))
-    lexical = V.top(pairs.select("query", "key", (F.col("a")[0] * F.col("b")[0] + F.col("a")[1] * F.col("b")[1]).alias("score")), 128)
+    short = e.select("vec_id", F.slice("embedding", 1, 2).alias("embedding"))
+    lexical = V.knn(short, "vec_id", "embedding", short.where("vec_id % 20 = 0"), "vec_id", 128, least=None, keep_self=False, metric="dot")
     return V.rrf({"dense": dense, "lexical": lexical})
 
 
@@ -116,13 +113,18 @@ def r18_cap_refill(s: SparkSession, d: str) -> DataFrame:
     return V.cap_and_refill(fused, "label").select("query", "key", "label", "place")
 
 
-@query(f"""WITH {_KNN}, t AS ({_TOP.format('cos', 128)}), g AS (SELECT query, key, score, label, max(score) OVER (PARTITION BY query) AS best FROM t JOIN embeddings e ON e.vec_id = t.key),
-  o AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, key) AS evidence_place FROM g WHERE score >= 0.25), p AS (SELECT *, max(score) OVER (PARTITION BY query, label) AS top, arg_min(key, evidence_place) OVER (PARTITION BY query, label) AS k FROM o WHERE evidence_place <= 5)
-  SELECT query, label, key, score, dense_rank() OVER (PARTITION BY query ORDER BY top DESC, k) AS document_place, evidence_place, CASE WHEN best < 0.5 THEN 'low' ELSE 'matched' END AS status FROM p QUALIFY document_place <= 32""")
+@query(f"""WITH {_KNN}, t AS ({_TOP.format('cos', 128)}), x AS (SELECT t.*, e.label, label = query % 37 AS exact, place > 20 AS extra FROM t JOIN embeddings e ON e.vec_id = t.key),
+  g AS (SELECT *, max(score) OVER (PARTITION BY query) < 0.5 AS weak FROM x), f AS (SELECT * FROM g WHERE exact OR (score >= 0.25 AND NOT (weak AND extra))),
+  o AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, key) AS evidence_place FROM f), p AS (SELECT *, max(score) OVER w AS top, arg_min(key, evidence_place) OVER w AS k, bool_or(exact) OVER w AS own FROM o WHERE evidence_place <= 5 WINDOW w AS (PARTITION BY query, label)),
+  q AS (SELECT *, CASE WHEN NOT bool_or(exact) OVER (PARTITION BY query) AND max(score) OVER (PARTITION BY query) < 0.5 THEN 'low' ELSE 'matched' END AS status, dense_rank() OVER (PARTITION BY query ORDER BY NOT own, top DESC, k) AS document_place FROM p),
+  r AS (SELECT query, label, key, score, document_place, evidence_place, status FROM q WHERE document_place <= 32)
+  SELECT * FROM r UNION ALL SELECT DISTINCT vec_id, NULL, NULL, NULL, NULL, NULL, 'no_match' FROM embeddings WHERE vec_id % 20 = 0 AND vec_id NOT IN (SELECT query FROM r)""")
 def r22_groups(s: SparkSession, d: str) -> DataFrame:
-    labels = load(s, d, "embeddings").select(F.col("vec_id").alias("key"), "label", F.col("vec_id").cast("string").alias("content"))
-    scored = _knn(s, d, 128).join(labels, "key")
-    return V.groups(scored, "label", "content")
+    """Labels stand for documents; the label of a query's own number counts as its exact title, places beyond 20 as extra recall."""
+    e = load(s, d, "embeddings")
+    labels = e.select(F.col("vec_id").alias("key"), "label", F.col("vec_id").cast("string").alias("content"))
+    scored = _knn(s, d, 128).join(labels, "key").withColumns({"exact": F.col("label") == F.col("query") % 37, "supplemental": F.col("place") > 20}).drop("place")
+    return V.groups(scored, "label", "content", asked=e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query")))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_distinct({_TOKENS.format('text')}) AS t, list_distinct({_TOKENS.format('docnm_kwd')}) AS n FROM documents WHERE text IS NOT NULL AND docnm_kwd IS NOT NULL)
