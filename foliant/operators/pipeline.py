@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators import retrieval as V
+from foliant.operators import rewrite as Q
 
 Embedder = Callable[[list[str]], np.ndarray]
 DIMENSIONS = 64
@@ -81,14 +82,14 @@ def lexical_score(question: str, text: str) -> Column:
     return F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1))
 
 
-def fused_search(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None = None, embedder: Embedder = hashing_embedder, rerank: Callable[[str, str], Column] = lexical_score, depth: int = 128) -> DataFrame:
+def fused_search(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None = None, embedder: Embedder = hashing_embedder, rerank: Callable[[str, str], Column] = lexical_score, depth: int = 128, synonyms: DataFrame | None = None) -> DataFrame:
     """(query, document, key, score, document_place, evidence_place, status).
 
     queries (query bigint, question), chunks (key bigint, document, name, content). Lanes rank on their own: a dense hit need not
     match a word. A query without words has no lexical lane, never a filter-only one; a batch's lanes share one scan of the corpus each."""
     rows = chunks if scope is None else chunks.join(scope.select(F.col("document_id").alias("document")), "document", "left_semi")
-    terms = V.query_terms(queries, "query", "question")
-    lexical = V.lexical_top(rows, "key", "content", terms, depth)
+    terms = Q.scoring_terms(Q.rewritten(queries, "query", "question", synonyms))
+    lexical = V.lexical_top(rows, "key", "content", terms, depth, phrases=True)
     vectors = embed(rows, "key", "content", embedder)
     asked = embed(queries, "query", "question", embedder)
     dense = V.knn(vectors, "key", "embedding", asked.withColumnRenamed("key", "query"), "query", depth, least=1e-9)

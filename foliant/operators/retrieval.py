@@ -51,8 +51,11 @@ def idf(n: Column, df_: Column) -> Column:
 def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, boost: float = 1.0) -> DataFrame:
     """(query, key, score, matched): BM25 with Lucene's idf; ``queries`` is (query, term)."""
     asked = queries.select("term").distinct()
-    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"))
-    stats = worded.select(F.size("w").alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    if phrases:
+        pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
+        worded = worded.withColumn("w", F.concat("w", pairs))
+    stats = worded.select("dl").where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # only occurrences of asked terms are counted and shuffled; a text's length goes along with them
     found = worded.select("key", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked, "term", "left_semi")
     wanted = found.groupBy("key", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -92,17 +95,21 @@ def top(hits: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return hits.withColumn("score", F.round("score", digits)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "key", "score", "place")
 
 
-def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int, model: str = "bm25", least: float | None = None, whole: float | None = None, keep_self: bool = True) -> DataFrame:
+def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int, model: str = "bm25", least: float | None = None, whole: float | None = None, keep_self: bool = True, phrases: bool = False) -> DataFrame:
     """(query, key, score, place): the k best texts of each query, scored while the corpus is read.
 
     queries is (query, term) or (query, term, weight). A first pass counts in how many texts the asked terms are; then each task adds
     up the scores of its own texts against a block of queries and hands on its k best, so what is shuffled follows the
     queries and not the matches. model: bm25, or scripted (each term once, its idf over that of a term in one text). With ``least``,
-    texts need max(1, floor(least * terms)) of a query's terms; with ``whole``, texts with all of them count so many times."""
+    texts need max(1, floor(least * terms)) of a query's terms; with ``whole``, texts with all of them count so many times. With ``phrases``, a term of two
+    words is found where they stand side by side."""
     weight = F.col("weight").cast("double") if "weight" in queries.columns else F.lit(1.0)
     asked = queries.select("query", "term", weight.alias("weight"))
-    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"))
-    stats = worded.select(F.size("w").alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    if phrases:
+        pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
+        worded = worded.withColumn("w", F.concat("w", pairs))
+    stats = worded.select("dl").where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
     freq = worded.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     part = F.col("weight") * idf(F.lit(n), F.col("df"))
@@ -128,12 +135,12 @@ def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: i
             known, best = pa.array(words, pa.string()), TopK(len(names), k)
             for batch in batches:
                 keys = batch.column("key").to_numpy(zero_copy_only=False)
-                length = pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
+                length, dl = pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False).astype(np.int64), batch.column("dl").to_numpy(zero_copy_only=False)
                 term = pc.fill_null(pc.index_in(batch.column("w").flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 text_of = np.repeat(np.arange(len(keys)), length)[term >= 0]
                 pair, tf = np.unique(text_of * len(words) + term[term >= 0], return_counts=True)
                 text_of, term = pair // max(len(words), 1), pair % max(len(words), 1)
-                share = tf / (tf + K1 * (1 - B + B * length[text_of] / avgdl)) if model == "bm25" else np.ones(len(tf))
+                share = tf / (tf + K1 * (1 - B + B * dl[text_of] / avgdl)) if model == "bm25" else np.ones(len(tf))
                 wide = starts[term + 1] - starts[term]
                 ends = np.cumsum(wide)
                 lo = 0

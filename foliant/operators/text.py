@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +30,82 @@ def multi_values(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.split(c, r"[、,，;；|]+"), lambda p: F.trim(p, F.lit(BLANKS))), lambda p: p != ""))
 
 
+#: Question words and filler of three kinds, and what each is replaced by.
+QUESTION_WORDS = [
+    (r"是*(怎么办|什么样的|哪家|一下|那家|请问|啥样|咋样了|什么时候|何时|何地|何人|是否|是不是|多少|哪里|怎么|哪儿|怎么样|如何|哪些|是啥|啥是|啊|吗|呢|吧|咋|什么|有没有|呀|谁|哪位|哪个)是*", ""),
+    (r"(^| )(what|who|how|which|where|why)('re|'s)? ", " "),
+    (r"(^| )('s|'re|is|are|were|was|do|does|did|don't|doesn't|didn't|has|have|be|there|you|me|your|my|mine|just|please|may|i|should|would|wouldn't|will|won't|done|go|for|with|so|the|a|an|by|i'm|it's|he's|she's|they|they're|you're|as|by|on|in|at|up|out|down|of|to|or|and|if) ", " "),
+]
+#: Fixed value: characters that a query string reserves.
+RESERVED = r"([:{}/\[\]\-*?\"\(\)|+~^])"
+
+
 def without_question_words(c: Column) -> Column:
-    """A query without question words and politeness; the query itself if nothing is left."""
-    bare = F.regexp_replace(F.lower(c), r"(^|\s)(what|who|how|which|where|why|when|is|are|was|were|do|does|did|can|could|would|please|the|a|an|of|to|in|on|for)(?=\s|$|[?.,!])", " ")
-    bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """A query without question words and filler; the query itself if nothing at all is left."""
+    bare = c
+    for pattern, instead in QUESTION_WORDS:
+        bare = F.regexp_replace(bare, f"(?i){pattern}", instead)
     return F.when(bare == "", c).otherwise(bare)
 
 
+def by_characters(c: Column) -> Column:
+    """Whether a query is read as a script without word borders: up to three words, or seven tenths of them not plain letters."""
+    words = F.split(c, r"[ \t]+")
+    return (F.size(words) <= 3) | (F.size(F.filter(words, lambda w: ~w.rlike("^[a-zA-Z]+$"))) / F.size(words) >= 0.7)
+
+
+def is_english(pieces: Column) -> Column:
+    """Whether more than eight tenths of the pieces that aren't blank are of ASCII letters, digits and common marks."""
+    some = F.filter(F.transform(pieces, lambda p: F.trim(p, F.lit(BLANKS))), lambda p: p != "")
+    plain = F.filter(some, lambda p: p.rlike(r"""^[`a-zA-Z0-9\s.,':;/"?<>!\(\)\-]+$"""))
+    return F.coalesce(F.size(plain) / F.nullif(F.size(some), F.lit(0)) > 0.8, F.lit(False))
+
+
+def is_han(c: Column) -> Column:
+    """Whether more than a fifth of the characters are Han."""
+    return F.coalesce(share_of(c, r"[\x{4e00}-\x{9fff}]") > 0.2, F.lit(False))
+
+
+def without_fence(c: Column) -> Column:
+    """A text without the Markdown fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*```markdown\s*\n?", ""), r"\n?\s*```\s*$", ""), F.lit(BLANKS))
+
+
+def is_blank(c: Column) -> Column:
+    return c.isNull() | (F.trim(c, F.lit(BLANKS)) == "")
+
+
+def between(c: Column, start: str, end: str) -> Column:
+    """What stands between two tags, the shortest stretches, over line ends too."""
+    quoted = (re.escape(x) for x in (start, end))
+    return F.regexp_extract_all(c, F.lit("(?s){}(.*?){}".format(*quoted)), F.lit(1))
+
+
+def keyword_terms(c: Column, most_bytes: int = 32_766) -> Column:
+    """Keywords listed in a text, each trimmed and once, long ones cut at the last character that fits so many bytes."""
+    steps = F.array(*(F.lit(1 << i) for i in range(most_bytes.bit_length() - 1, -1, -1)))
+
+    def fits(t: Column) -> Column:
+        """The longest beginning that fits, found bit by bit."""
+        length = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.octet_length(F.substr(t, F.lit(1), n + step)) <= most_bytes, n + step).otherwise(n))
+        return F.substr(t, F.lit(1), length)
+
+    listed = F.transform(F.split(c, r"[,，;；、\r\n]+"), lambda t: F.trim(t, F.lit(BLANKS)))
+    return F.array_distinct(F.filter(F.transform(listed, lambda t: F.when(F.octet_length(t) <= most_bytes, t).otherwise(F.rtrim(fits(t)))), lambda t: t != ""))
+
+
+def image_links(c: Column) -> Column:
+    """(line, url) of the images of a text, Markdown and HTML, each pair once; lines count from 0."""
+    lines = F.split(c, r"\r\n|\r|\n")
+    markdown, html = F.lit(r"!\[[^\]]*\]\(([^)\s]+)"), F.lit(r"""(?i)src=["']([^"'>\s]+)""")
+
+    def found(line: Column, at: Column) -> Column:
+        urls = F.concat(F.regexp_extract_all(line, markdown, F.lit(1)), F.regexp_extract_all(line, html, F.lit(1)))
+        return F.transform(urls, lambda u: F.struct(at.alias("line"), u.alias("url")))
+
+    return F.array_distinct(F.flatten(F.transform(lines, found)))
+
+
 def spaced_scripts(c: Column) -> Column:
     """A blank between Latin letters or digits and CJK characters."""
     out = F.regexp_replace(c, r"([A-Za-z0-9])([一-龥가-힣])", "$1 $2")
@@ -42,8 +113,8 @@ def spaced_scripts(c: Column) -> Column:
 
 
 def escaped(c: Column) -> Column:
-    """The characters that a query string reserves, with a backslash."""
-    return F.regexp_replace(c, r'([:{}/\[\]\-*"\(\)|+~^])', r"\\$1")
+    """The characters that a query string reserves with a backslash; single quotes are taken out."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "'", ""), RESERVED, r"\\$1"), F.lit(BLANKS))
 
 
 def tight_punctuation(c: Column) -> Column:
@@ -79,26 +150,39 @@ def half_width(c: Column) -> Column:
 
 
 def oov_frequency(c: Column) -> Column:
-    """Assumed frequency of a word outside the dictionary by its length; null if it isn't all letters."""
-    guess = F.bround(300 / F.pow(F.lit(2.0), (F.length(c) - 3) / 2), 0)
-    return F.when(c.rlike(r"^[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}]+$"), F.greatest(F.lit(10), guess.cast("int")))
+    """Assumed frequency of a term outside the dictionary: 300 up to three letters, halved every two more, 10 at least; null for a
+    term without letters or with anything but Latin, Greek and Cyrillic letters, blanks, dots and hyphens."""
+    letters = F.length(F.regexp_replace(c, r"[ .\-]", ""))
+    guess = F.bround(300 / F.pow(F.lit(2.0), F.greatest(letters - 3, F.lit(0)) / 2), 0)
+    return F.when(c.rlike(r"^(?:[ .\-]|(?=\p{L})[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}])+$") & (letters > 0), F.greatest(F.lit(10), guess.cast("int")))
 
 
 def canonical_hash(*columns: str) -> Column:
-    """SHA-256 of the columns as compact JSON with sorted keys."""
+    """SHA-256 of the columns as compact JSON with sorted keys, nulls included."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def bucket(c: Column, modulus: int = 10**8) -> Column:
+    """SHA-1 of a text as a number modulo so many, eight hex digits at a time."""
+    digest, out = F.sha1(c.cast("binary")), F.lit(0).cast("bigint")
+    for at in range(1, 41, 8):
+        out = (out * (1 << 32) + F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")) % modulus
+    return out
+
+
 def joined_id(*columns: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *columns), 256)
 
 
 def pretty_bytes(c: Column) -> Column:
-    units = ["B", "KB", "MB", "GB", "TB"]
+    """A number of bytes with its unit: three digits that count."""
+    units = ["B", "KB", "MB", "GB", "TB", "PB"]
     out = F.lit(None).cast("string")
     for i in range(len(units) - 1, -1, -1):
-        size = F.round(c / 1024**i, 2)
-        out = F.when(c < 1024 ** (i + 1), F.concat(size.cast("string"), F.lit(" " + units[i]))).otherwise(out)
+        size = (c / float(1024**i)).cast("double")
+        shown = F.when((size >= 100) | F.lit(i == 0), F.format_string("%.0f", size)).when(size >= 10, F.format_string("%.1f", size)).otherwise(F.format_string("%.2f", size))
+        written = F.concat(shown, F.lit(f" {units[i]}"))
+        out = written if i == len(units) - 1 else F.when(c < 1024 ** (i + 1), written).otherwise(out)
     return out
 
 
@@ -121,7 +205,7 @@ def months_between_years(start: Column, end: Column, now: str) -> Column:
 
 def cell_bool(c: Column) -> Column:
     word = F.lower(F.trim(c))
-    return F.when(word.isin("true", "yes", "y", "1", "是", "✓", "√", "t", "on"), True).when(word.isin("false", "no", "n", "0", "否", "x", "×", "f", "off"), False)
+    return F.when(word.isin("true", "yes", "是", "*", "✓", "✔", "☑", "✅", "√"), True).when(word.isin("false", "no", "否", "⍻", "×"), False)
 
 
 def mixed_vectors(title: Column, content: Column, weight: float = 0.1) -> Column:

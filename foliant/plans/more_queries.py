@@ -120,19 +120,6 @@ def u6_reserved_extras(s: SparkSession, d: str) -> DataFrame:
     return main.union(extra)
 
 
-@query("""SELECT doc_id, CASE WHEN n <= 3 THEN 'short' WHEN share >= 0.7 THEN 'other' ELSE 'latin' END AS kind FROM (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: NOT regexp_full_match(x, '[A-Za-z]+'))) / greatest(len(w), 1) AS share
-  FROM (SELECT doc_id, list_filter(regexp_split_to_array(docnm_kwd, '[ _-]+'), lambda x: x <> '') AS w FROM documents WHERE docnm_kwd IS NOT NULL))""")
-def x9_query_language(s: SparkSession, d: str) -> DataFrame:
-    w = F.filter(F.split("docnm_kwd", "[ _-]+"), lambda x: x != "")
-    rows = load(s, d, "documents").where("docnm_kwd is not null").select("doc_id", w.alias("w"))
-    share = F.size(F.filter("w", lambda x: ~x.rlike("^[A-Za-z]+$"))) / F.greatest(F.size("w"), F.lit(1))
-    return rows.select("doc_id", F.when(F.size("w") <= 3, "short").when(share >= 0.7, "other").otherwise("latin").alias("kind"))
-
-
-def x6_question_words(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "documents").select("doc_id", X.without_question_words(F.col("docnm_kwd")).alias("question"))
-
-
 def x27_highlight(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").where("text is not null").select("doc_id", X.highlight(F.col("text"), ["pump", "budget", "audit"]).alias("marked")).where("marked <> ''")
 
@@ -282,4 +269,4 @@ def s5_bulk_insert(s: SparkSession, d: str) -> DataFrame:
     return R.upsert(rows.where("id % 3 <> 0"), rows.where("id % 4 <> 0").withColumn("v", F.col("v") + F.col("id") % 5), ["id"])
 
 
-QUERIES |= {f.__name__: f for f in (r23_fused_search, c18_embed, x6_question_words, x27_highlight)}
+QUERIES |= {f.__name__: f for f in (r23_fused_search, c18_embed, x27_highlight)}

@@ -121,17 +121,9 @@ def c16_task_split(s: SparkSession, d: str) -> DataFrame:
     return pages.select("l_orderkey", "page", F.sha2(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("page").cast("string")), 256).alias("digest"))
 
 
-def x3_exact_terms(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", N.exact_terms_udf("docnm_kwd").alias("terms"))
-
-
-def x4_hangul_terms(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", N.hangul_terms_udf("docnm_kwd").alias("terms"))
-
-
-@query("""WITH t AS (SELECT doc_id, lower(regexp_replace(regexp_replace(nfc_normalize(docnm_kwd), '\\.[^.\\s]{1,8}$', ''), '\\s+', '', 'g')) AS k FROM documents) SELECT doc_id, coalesce(replace(k, 'ß', 'ss'), '') AS title FROM t""".replace("\\\\", "\\"))
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(replace(lower(nfc_normalize(regexp_replace(docnm_kwd, '\s+', '', 'g'))), 'ß', 'ss'), '\.(?:pdf|docx?|pptx?|xlsx?|hwpx?|txt|md|csv|html?)$', '') AS k FROM documents) SELECT doc_id, coalesce(k, '') AS title FROM t""")
 def x18_title_key(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", N.title_key_udf("docnm_kwd").alias("title"))
+    return docs(s, d).select("doc_id", N.title_key(N.folded_udf("docnm_kwd")).alias("title"))
 
 
-QUERIES |= {f.__name__: f for f in (c1_naive_merge, c2_over_cap, c5_tree_chunks, c7_markdown_chunks, x3_exact_terms, x4_hangul_terms)}
+QUERIES |= {f.__name__: f for f in (c1_naive_merge, c2_over_cap, c5_tree_chunks, c7_markdown_chunks)}

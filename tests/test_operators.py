@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 
+from pyspark.sql import functions as F
+
 from foliant.functions import normalise as N
 from foliant.operators import chunking as C
 from foliant.operators import predicates as P
@@ -119,19 +123,36 @@ def test_delimiters_and_chunks():
     assert C.qa_pairs([["q", "a"], ["more"], ["q2", "a2"], ["", "x"]]) == [("q", "a\nmore"), ("q2", "a2")]
 
 
-def test_terms_and_ids():
-    assert N.exact_terms("Ｃ＋＋") == N.exact_terms("c++") != N.exact_terms("c#")
-    assert N.hangul_terms("데이터 베이스") == N.hangul_terms("데이터베이스")
-    assert N.exact_terms(None) == [] and N.title_key("My Report.PDF") == "myreport"
+def test_terms_and_ids(spark):
+    names = ["Ｃ＋＋", "c++", "C#", "데이터 베이스", "데이터베이스", None, "<b>AC/DC</b> a++ c+++ v2.1 &amp; " + "y" * 200]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, t string").select("i", N.plain_udf("t").alias("p"))
+    got = {r["i"]: (r["e"], r["h"]) for r in df.select("i", N.exact_terms(F.col("p")).alias("e"), N.hangul_terms(F.col("p")).alias("h")).collect()}
+    assert got[0] == got[1] == (["x" + b"c++".hex()], []) and got[0] != got[2] and got[5] == ([], [])
+    assert got[3] == got[4] and got[3][1] == ["데이", "이터", "터베", "베이", "이스", "데이터", "이터베", "터베이", "베이스"]
+    assert got[6][0] == ["x" + t.encode().hex() for t in ("ac", "dc", "a++", "c++", "v2.1")] + ["xh" + hashlib.sha256(b"y" * 200).hexdigest()]
+    titles = spark.createDataFrame([("My Report.PDF",), ("Ｍy  report.pdf",), ("v1.2 notes",), (None,)], "t string").select(N.title_key(N.folded_udf("t")))
+    assert [r[0] for r in titles.collect()] == ["myreport", "myreport", "v1.2notes", ""]
     a = N.chunk_id("n", "d", {"order": 1, "content": "x"})
     assert a != N.chunk_id("n", "d", {"order": 2, "content": "x"}) and N.chunk_id("n", "d", {"id": "given"}) == "given" and len(a) == 16
 
 
 def test_oov_frequency(spark):
     words = spark.createDataFrame([("a",), ("maior",), ("largest",), ("equipment",), ("abc123",)], "w string")
-    assert [r[0] for r in words.select(X.oov_frequency(words["w"])).collect()] == [600, 150, 75, 38, None]
+    assert [r[0] for r in words.select(X.oov_frequency(words["w"])).collect()] == [300, 150, 75, 38, None]
 
 
 def test_column_types(spark):
     df = spark.createDataFrame([("1", "1.5", "yes", "2024-01-02", "007", "x"), ("2", "2", "no", "2024/1/3 10:00", "008", "1"), (None, "", "", None, "9", None)], "a string, b string, c string, d string, e string, f string")
     assert {r["column"]: r["kind"] for r in C.column_types(df, list("abcdef")).collect()} == {"a": "int", "b": "float", "c": "bool", "d": "datetime", "e": "text", "f": "text"}
+
+
+def test_text_scalars(spark):
+    df = spark.createDataFrame([("```markdown\n# A\n``` ", "a (b\nc) (d)", " x, y；x\n" + "é" * 20_000, 1536.0), (None, None, None, 0.0)], "f string, t string, k string, b double")
+    row = df.select(X.without_fence(F.col("f")), X.between(F.col("t"), "(", ")"), X.keyword_terms(F.col("k")), X.pretty_bytes(F.col("b")), X.is_blank(F.col("t"))).collect()
+    assert (row[0][0], row[0][1], row[0][3], row[0][4], row[1][3], row[1][4]) == ("# A", ["b\nc", "d"], "1.50 KB", False, "0 B", True)
+    assert row[0][2] == ["x", "y", "é" * 16_383]
+    links = spark.createDataFrame([('![a](u1.png) x\n<img SRC="u2"> ![b](u1.png)\n![a](u1.png) ![c](u1.png)',)], "t string").select(X.image_links(F.col("t"))).first()[0]
+    assert [tuple(x) for x in links] == [(0, "u1.png"), (1, "u1.png"), (1, "u2"), (2, "u1.png")]
+    words = spark.createDataFrame([("what is the limit",), ("the",), ("the of ",), ("what's the plan of it",), ("请问预算是多少",)], "t string").select(X.without_question_words(F.col("t")))
+    assert [r[0] for r in words.collect()] == [" the limit", "the", " of ", " plan it", "预算"]
+    assert spark.createDataFrame([("x",)], "t string").select(X.bucket(F.lit("abc"))).first()[0] == int(hashlib.sha1(b"abc").hexdigest(), 16) % 10**8
