@@ -180,7 +180,7 @@ def pretty_bytes(c: Column) -> Column:
     out = F.lit(None).cast("string")
     for i in range(len(units) - 1, -1, -1):
         size = (c / float(1024**i)).cast("double")
-        shown = F.when((size >= 100) | F.lit(i == 0), F.format_string("%.0f", size)).when(size >= 10, F.format_string("%.1f", size)).otherwise(F.format_string("%.2f", size))
+        shown = F.when((size >= 100) | F.lit(i == 0), F.format_string("%.0f", F.bround(size, 0))).when(size >= 10, F.format_string("%.1f", F.bround(size, 1))).otherwise(F.format_string("%.2f", F.bround(size, 2)))
         written = F.concat(shown, F.lit(f" {units[i]}"))
         out = written if i == len(units) - 1 else F.when(c < 1024 ** (i + 1), written).otherwise(out)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.operators import answers as N
+from foliant.operators import chunking as C
 from foliant.operators import hierarchy as H
 from foliant.operators import pipeline as G
 from foliant.operators import relational as R
@@ -14,6 +15,7 @@ from foliant.operators import retrieval as V
 from foliant.operators import text as X
 from foliant.plans.feed_queries import FOLDER_NODES
 from foliant.plans.registry import Registry
+from foliant.plans.retrieval_queries import _LEXICAL, _TOP
 from foliant.plans.relational_queries import FILES, LATEST_CHUNKS, chunks_now, files
 from foliant.sources.tables import load
 
@@ -96,10 +98,13 @@ def a19_children(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("mom_id").agg(F.round(F.avg(F.length(F.coalesce("content", F.lit("")))), 6).alias("mean"), F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("children"), keywords.alias("keywords"))
 
 
-@query(f"""SELECT DISTINCT sha256(coalesce(content, '')) AS digest, min(mom_id) AS mom_id FROM {LATEST_CHUNKS} WHERE mom_id IS NOT NULL GROUP BY 1""")
+@query(f"""WITH c AS (SELECT chunk_id, mom_id, content FROM {LATEST_CHUNKS}) SELECT sha256(coalesce(p.content, '')) AS digest, min(p.chunk_id) AS parent, count(*) AS children FROM c JOIN c p ON p.chunk_id = c.mom_id GROUP BY 1""")
 def u7_parent_dedup(s: SparkSession, d: str) -> DataFrame:
-    rows = chunks_now(s, d, "chunk_id", "mom_id", "content").where("mom_id is not null")
-    return rows.groupBy(F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest")).agg(F.min("mom_id").alias("mom_id"))
+    """Parents of one text are one: their first id, and the children of all of them."""
+    rows = chunks_now(s, d, "chunk_id", "mom_id", "content")
+    parents = rows.select(F.col("chunk_id").alias("parent"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("digest"))
+    children = rows.where("mom_id is not null").groupBy(F.col("mom_id").alias("parent")).agg(F.count(F.lit(1)).alias("n"))
+    return parents.join(children, "parent").groupBy("digest").agg(F.min("parent").alias("parent"), F.sum("n").alias("children"))
 
 
 @query(f"SELECT id, list_distinct(list_transform([suffix, source_type, suffix], lambda x: lower(trim(x)))) AS kinds FROM {FILES} WHERE suffix IS NOT NULL AND source_type IS NOT NULL")
@@ -124,25 +129,12 @@ def x27_highlight(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").where("text is not null").select("doc_id", X.highlight(F.col("text"), ["pump", "budget", "audit"]).alias("marked")).where("marked <> ''")
 
 
-@query(r"""SELECT doc_id, list_distinct(regexp_extract_all(text, '\[([A-Z]{2}-\d+)\]', 1)) AS codes FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\[[A-Z]{2}-\d+\]')""")
-def x28_between(s: SparkSession, d: str) -> DataFrame:
-    codes = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[([A-Z]{2}-\d+)\]"), F.lit(1)))
-    return load(s, d, "documents").where("text is not null").select("doc_id", F.array_sort(codes).alias("codes")).where("size(codes) > 0")
-
-
-SQL["x28_between"] = SQL["x28_between"].replace("list_distinct(", "list_sort(list_distinct(").replace(", 1)) AS codes", ", 1))) AS codes")
-
-
-@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^\s*(\d+[.)]|[-*+]|제\d+[장조절]|#{1,6})\s'))) AS bullets FROM documents WHERE text IS NOT NULL""")
-def x22_bullets(s: SparkSession, d: str) -> DataFrame:
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\s*(\d+[.)]|[-*+]|제\d+[장조절]|#{1,6})\s"))
-    return load(s, d, "documents").where("text is not null").select("doc_id", F.size(lines).alias("bullets"))
-
-
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS length FROM embeddings")
-def m9_vector_length(s: SparkSession, d: str) -> DataFrame:
-    e = F.col("embedding").cast("array<double>")
-    return load(s, d, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), 5).alias("length"))
+@query("""SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) f USING (label)""")
+def m9_cosine(s: SparkSession, d: str) -> DataFrame:
+    """Cosine of each vector and the first one of its label."""
+    e = load(s, d, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("first"))
+    return e.join(first, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("first")), 5).alias("cosine"))
 
 
 @query("""WITH t AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1), n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}]'))
@@ -160,21 +152,16 @@ def m17_clamped_weight(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "events").select("event_id", F.when(v > 0, F.least(v, F.lit(40.0))).alias("weight"))
 
 
-@query("SELECT c_custkey, CAST(('0x' || substr(sha256(c_name), 1, 8)) AS BIGINT) % 16 AS bucket FROM customer")
-def m4_bucket(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "customer").select("c_custkey", (F.conv(F.substring(F.sha2("c_name", 256), 1, 8), 16, 10).cast("bigint") % 16).alias("bucket"))
-
-
 @query("SELECT id, sha256(concat_ws(chr(31), id, kb_id, docnm_kwd)) AS stable FROM (SELECT DISTINCT id, kb_id, docnm_kwd FROM source_documents)")
 def m3_stable_id(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "source_documents").select("id", "kb_id", "docnm_kwd").distinct().select("id", X.joined_id(F.col("id"), F.col("kb_id"), F.col("docnm_kwd")).alias("stable"))
 
 
-@query(f"""SELECT chunk_id, len(list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{N}}]+'))) + 2 * len(coalesce(title_tokens, [])) + 5 * len(coalesce(important, [])) + 6 * len(coalesce(questions, [])) AS n FROM {LATEST_CHUNKS}""".replace("\\\\", "\\"))
+@query(f"""SELECT chunk_id, sha256(array_to_string(list_sort(list_concat(list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[\\p{{L}}\\p{{N}}]+')), flatten([coalesce(title_tokens, []) for i in range(2)]), flatten([coalesce(important, []) for i in range(5)]), flatten([coalesce(questions, []) for i in range(6)]))), ' ')) AS tokens FROM {LATEST_CHUNKS}""".replace("\\\\", "\\"))
 def k8_weighted_tokens(s: SparkSession, d: str) -> DataFrame:
     rows = chunks_now(s, d, "chunk_id", "content", "title_tokens", "important", "questions")
     some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
-    return rows.select("chunk_id", F.size(X.weighted_tokens(V.tokens(F.col("content")), some("title_tokens"), some("important"), some("questions"))).alias("n"))
+    return rows.select("chunk_id", F.sha2(F.array_join(F.array_sort(X.weighted_tokens(V.tokens(F.col("content")), some("title_tokens"), some("important"), some("questions"))), " "), 256).alias("tokens"))
 
 
 @query(f"""SELECT chunk_id, list_sort(list_distinct(list_concat(coalesce(tags, []), coalesce(important, [])))) AS merged FROM {LATEST_CHUNKS}""")
@@ -192,35 +179,52 @@ def k4_edit_metadata(s: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", edited.alias("m")).where(F.map_contains_key("m", "tags")).select("chunk_id", F.array_sort(F.col("m")["tags"]).alias("tags"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS doc, l_linenumber AS page, max(l_partkey) AS digest FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2), n AS (SELECT l_orderkey AS doc, l_linenumber AS page, max(l_partkey) AS digest FROM lineitem GROUP BY 1, 2)
-  SELECT n.doc, n.page, o.doc IS NOT NULL AS reused FROM n LEFT JOIN o ON o.doc = n.doc AND o.page = n.page AND o.digest = n.digest""")
+_TASKS = f"""f AS (SELECT id, max(chunk_num) AS n, max(progress) AS progress, CASE WHEN max(lower(trim(suffix, ' .'))) = 'pdf' THEN 12 ELSE 22 END AS size FROM source_documents GROUP BY 1),
+  t AS (SELECT id, progress, from_page, least(from_page + size, n) AS to_page FROM (SELECT id, progress, n, size, unnest(range(0, n, size)) AS from_page FROM f WHERE n > 0)),
+  w AS (SELECT *, sha256(concat_ws('|', 'cap=128', id, from_page, to_page)) AS digest FROM t)"""
+
+
+def _tasks(s: SparkSession, d: str) -> DataFrame:
+    rows = load(s, d, "source_documents").groupBy("id").agg(F.max("chunk_num").alias("n"), F.max("progress").alias("progress"), F.max(F.lower(F.trim("suffix", F.lit(" .")))).alias("suffix"))
+    tasks = C.task_ranges(rows, ["id", "progress"], "n", F.when(F.col("suffix") == "pdf", 12).otherwise(22))
+    return tasks.withColumn("digest", F.sha2(F.concat_ws("|", F.lit("cap=128"), "id", F.col("from_page").cast("string"), F.col("to_page").cast("string")), 256))
+
+
+@query(f"WITH {_TASKS} SELECT id, from_page, to_page, digest FROM w")
+def c16_task_split(s: SparkSession, d: str) -> DataFrame:
+    return _tasks(s, d).select("id", "from_page", "to_page", "digest")
+
+
+@query(f"WITH {_TASKS} SELECT id, from_page, CASE WHEN progress >= 1 THEN id || '-' || from_page END AS chunk_ids, CASE WHEN progress >= 1 THEN 1.0 ELSE 0.0 END AS progress FROM w")
 def c17_reuse(s: SparkSession, d: str) -> DataFrame:
-    l = load(s, d, "lineitem")  # noqa: E741
-    tasks = lambda x: x.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page")).agg(F.max("l_partkey").alias("digest"))
-    done = tasks(l.where("l_linestatus = 'F'")).withColumn("reused", F.lit(True))
-    return tasks(l).join(done, ["doc", "page", "digest"], "left").select("doc", "page", F.coalesce("reused", F.lit(False)).alias("reused"))
+    """The tasks of all files against those of an earlier run, of which those of finished files are done."""
+    tasks = _tasks(s, d)
+    before = tasks.withColumn("chunk_ids", F.concat_ws("-", "id", F.col("from_page").cast("string")))
+    return C.reuse(tasks.drop("progress"), before, ["id"]).select("id", "from_page", "chunk_ids", "progress")
 
 
-@query("SELECT p_partkey, concat_ws('; ', 'p_name: ' || p_name, 'p_brand: ' || p_brand, 'p_size: ' || p_size) AS chunk FROM part")
+@query("""SELECT p_partkey, concat_ws(chr(10), '- p_name: ' || nullif(trim(p_name), ''), '- p_brand: ' || nullif(trim(p_brand), ''), '- p_type: ' || nullif(trim(p_type), '')) AS chunk, p_brand AS brand, CAST(p_size AS VARCHAR) AS size FROM part""")
 def c13_row_chunks(s: SparkSession, d: str) -> DataFrame:
-    cell = lambda c: F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))
-    return load(s, d, "part").select("p_partkey", F.concat_ws("; ", cell("p_name"), cell("p_brand"), cell("p_size")).alias("chunk"))
+    roles = {"p_name": "vectorize", "p_brand": "both", "p_type": "indexing", "p_size": "metadata"}
+    rows = C.row_chunks(load(s, d, "part"), roles, ["p_partkey"])
+    return rows.select("p_partkey", "chunk", F.col("metadata")["p_brand"].alias("brand"), F.col("metadata")["p_size"].alias("size"))
 
 
-@query(f"""SELECT chunk_id, place, child FROM (SELECT chunk_id, unnest(p) AS child, generate_subscripts(p, 1) - 1 AS place FROM (SELECT chunk_id, list_filter(regexp_split_to_array(content, '\\r\\n|\\r|\\n'), lambda x: trim(x) <> '') AS p FROM {LATEST_CHUNKS} WHERE content IS NOT NULL) WHERE len(p) > 1)""".replace("\\\\", "\\"))
+@query(f"""SELECT chunk_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS place, unnest(p) AS chunk FROM (SELECT chunk_id, regexp_extract_all(content, '[^\n]+\n?') AS p FROM {LATEST_CHUNKS} WHERE content <> '')""")
 def c6_children(s: SparkSession, d: str) -> DataFrame:
-    p = F.filter(F.split("content", r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    rows = chunks_now(s, d, "chunk_id", "content").where("content is not null").select("chunk_id", p.alias("p")).where("size(p) > 1")
-    return rows.select("chunk_id", F.posexplode("p").alias("place", "child"))
+    """Children that end at line ends; their parent is the chunk."""
+    return C.chunk_column(chunks_now(s, d, "chunk_id", "content"), "chunk_id", "content", lambda t: C.children(t, "\n"))
 
 
-@query("""WITH r AS (SELECT doc_id, lang, rank, document FROM (SELECT doc_id, lower(trim(lang)) AS lang, doc_type AS document, row_number() OVER (PARTITION BY lower(trim(lang)) ORDER BY doc_id) AS rank FROM documents WHERE lang IS NOT NULL))
-  SELECT coalesce(lang, 'all') AS category, count(*) AS n, round(avg(CASE WHEN document = 'pdf' AND rank % 7 < 5 THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(CASE WHEN document = 'pdf' AND rank % 7 < 5 THEN 1.0 / (rank % 7 + 1) ELSE 0.0 END), 6) AS mrr FROM r GROUP BY ROLLUP (lang)""")
+@query(f"""WITH {_LEXICAL}, run AS ({_TOP.format('hit', 5)}), b AS (SELECT query, min(place) AS first FROM run WHERE query = key GROUP BY 1), r AS (SELECT DISTINCT q.query, lower(trim(d.lang)) AS lang FROM q JOIN documents d ON d.doc_id = q.query)
+  SELECT coalesce(lang, 'all') AS category, count(*) AS n, round(avg(CASE WHEN first IS NULL THEN 0.0 ELSE 1.0 END), 6) AS hit, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM (SELECT * FROM r WHERE lang IS NOT NULL) r LEFT JOIN b USING (query) GROUP BY ROLLUP (lang)""")
 def a29_retrieval_quality(s: SparkSession, d: str) -> DataFrame:
-    rows = load(s, d, "documents").where("lang is not null").select(F.col("doc_id").alias("query"), F.lower(F.trim("lang")).alias("category"), F.col("doc_type").alias("document"))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("category").orderBy("query")))
-    run = rows.select("query", F.lit("pdf").alias("document"), (F.col("rank") % 7 + 1).alias("place"))
-    return G.quality(run, rows.select("query", "document", "category"))
+    """How often a file name finds its own text among the first five of BM25, by language."""
+    docs = load(s, d, "documents")
+    terms = V.query_terms(docs.where("doc_id % 20 = 0"), "doc_id", "docnm_kwd")
+    run = V.lexical_top(docs.select("doc_id", "text"), "doc_id", "text", terms, 5).select("query", F.col("key").alias("document"), "place")
+    asked = terms.select("query").distinct().join(docs.select(F.col("doc_id").alias("query"), F.lower(F.trim("lang")).alias("category")), "query").where("category is not null")
+    return G.quality(run, asked.withColumn("document", F.col("query")))
 
 
 @query("SELECT id, kb_name, permission FROM knowledgebases WHERE kb_status = '1' ORDER BY create_time DESC, id LIMIT 30")

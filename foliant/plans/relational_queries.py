@@ -644,12 +644,16 @@ def u9_distinct_join(s: SparkSession, d: str) -> DataFrame:
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_mktsegment", "n_name").distinct()
 
 
-@query("""SELECT folder_id, CAST(sum(CAST('0x' || substr(sha256(document_id), 1, 10) AS BIGINT)) % 1000000007 AS BIGINT) AS digest, count(*) AS n FROM (SELECT DISTINCT folder_id, document_id FROM membership WHERE document_id IS NOT NULL) GROUP BY 1""")
+@query("""WITH m AS (SELECT DISTINCT folder_id, document_id, sha256(document_id) AS h FROM membership WHERE document_id IS NOT NULL), o AS (SELECT document_id FROM m GROUP BY 1 HAVING count(*) > 1)
+  SELECT folder_id, concat_ws('-', """ + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {at}, 15) AS HUGEINT)) AS VARCHAR)" for at in (1, 16, 31, 46)) + """) AS digest, count(*) AS n, count(*) FILTER (document_id IN (SELECT document_id FROM o)) AS elsewhere FROM m GROUP BY 1""")
 def u11_snapshot_digest(s: SparkSession, d: str) -> DataFrame:
-    """A digest of each folder's documents that needs no order: the sum of the documents' hashes, combined on the map side."""
+    """A digest of each folder's set of documents that needs no order: four sums of 60-bit parts of the documents' hashes, added up on the
+    map side; and how many of its documents are in another folder too."""
     m = load(s, d, "membership").where("document_id is not null").select("folder_id", "document_id").distinct()
-    part = F.conv(F.substring(F.sha2("document_id", 256), 1, 10), 16, 10).cast("decimal(38,0)")
-    return m.groupBy("folder_id").agg((F.sum(part) % 1_000_000_007).cast("bigint").alias("digest"), F.count(F.lit(1)).alias("n"))
+    folders = m.groupBy("document_id").agg(F.count(F.lit(1)).alias("folders"))
+    h = m.join(folders, "document_id").select("folder_id", "folders", F.sha2("document_id", 256).alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 16, 31, 46)]
+    return h.groupBy("folder_id").agg(F.concat_ws("-", *sums).alias("digest"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("folders") > 1).alias("elsewhere"))
 
 
 @query("SELECT tenant_id, count(DISTINCT embd_id) <= 1 AND count(*) = count(embd_id) AS same FROM knowledgebases GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import normalise as N
 from foliant.operators import chunking as C
+from foliant.operators import outline as O
 from foliant.operators import predicates as P
 from foliant.operators import relational as R
 from foliant.operators import retrieval as V
@@ -111,16 +112,33 @@ def test_merge_groups():
     assert C.group_sizes([60] * 4, 100, "under") == [[0], [1], [2], [3]]
     assert C.group_sizes([60] * 4, 100, "over") == [[0, 1], [2, 3]]
     assert C.group_sizes([10, 20, 30], 100) == [[0, 1, 2]]
+    # pieces stand alone beyond the cap, not beyond the threshold that leaves room for the overlap
+    assert C.group_sizes([50, 95], 100, "over", 10) == [[0, 1]] and C.group_sizes([50, 45], 100, "under", 10) == [[0, 1]]
+    assert C.group_sizes([91, 5, 101, 5], 100, "over", 10) == [[0], [1], [2], [3]]
 
 
 def test_delimiters_and_chunks():
     assert C.delimiters("") == [] and C.delimiters("\n`##`;`###`") == ["###", "##", "\n", ";"]
-    assert C.naive_merge("a\r\nb", 1, "`\r\n`") == ["a", "b"]
-    merged = C.naive_merge("one two. three four. five six.", 3, ".", 50)
-    assert merged[1].startswith(merged[0][-len(merged[0]) // 2 :])
+    assert C.delimiters("a`\r\n`b\r") == ["a", "\n", "b"] and C.has_custom("`x`") and not C.has_custom("``x")
+    # delimiters fall out, every paragraph follows a line end
+    assert C.naive_merge("a\r\nb", 1, "`\r\n`") == ["\na", "\nb"]
+    assert C.naive_merge("one two.three four.five six", 3, ".") == ["\none two\nthree four", "\nfive six"]
+    merged = C.naive_merge("one two three.four five six.seven", 3, ".", 50)
+    assert merged[0] == "\none two three" and merged[1] == merged[0][7:] + "\nfour five six" and merged[2] == merged[1][len(merged[1]) // 2 :] + "\nseven" and C.naive_merge("", 3) == []
+    assert C.naive_merge("a.b", 1, "") == ["\na.b"]
+    assert C.children("a\n\nb\nc", "\n") == ["a\n", "b\n", "c"] and C.children("x", "(") == ["x"]
     assert C.markdown_chunks("# A\ntext\n\n## B\n```\n# no\n```\n") == ["# A\ntext", "## B", "```\n# no\n```"]
-    assert C.tree_chunks("# A\nx\n## B\ny\n# C\nz") == ["# A\nx", "# A\n## B\ny", "# C\nz"]
+    # what stands under a heading goes with the headings below it
+    assert O.tree_chunks("in\n# A\nx x\n## B\ny y\n## C\nzz\n# D\nww") == ["in", "# A\nx x\n## B\ny y", "# A\nx x\n## C\nzz", "# D\nww"]
+    assert O.tree_chunks("plain\nlines") == ["plain", "lines"] and O.tree_chunks("") == [] == O.hierarchical_chunks("")
+    assert O.hierarchical_chunks("# A\nx x\n## B\ny y\n# D\n# E") == [["# A", "x x"], ["# A", "## B", "y y"], ["# D", "# E"]]
+    assert O.family(["1. a", "2. b", "第三章 x"]) == 1 and O.family(["plain"]) == -1 and O.level("1.2 x", 1) == 2 and O.most_frequent_level(["1. a", "b", "2. c"], 1) == 2
+    assert O.without_contents(["Contents", "", "1. A", "2. B", "1. A", "text"]) == ["1. A", "text"] and O.without_contents(["目 录"]) == []
+    assert [O.numeral(t) for t in ("12", "twenty-one", "one hundred and five", "二十三", "一百零五", "三万五千", "XIV", "abc", "", None)] == [12, 21, 105, 23, 105, 35_000, 14, -1, -1, -1]
     assert C.qa_pairs([["q", "a"], ["more"], ["q2", "a2"], ["", "x"]]) == [("q", "a\nmore"), ("q2", "a2")]
+    assert C.question_answers("x\nq1,a1\nmore\nq2,\nq3,a3") == [("q1", "a1\nmore"), ("q3", "a3")] and C.question_answers('a,"b\nc"\nq,', "csv") == [("a", "b\nc"), ("q", "")]
+    assert C.tagged_passages("l1\nl2\tt\nz") == [("\nl1\nl2", "t")]
+    assert C.heading_answers("# A\nbody\n## B\nb2\n```\n# no\n```\n# C\n# D\nd") == [("A", "body"), ("A\nB", "b2\n```\n# no\n```"), ("D", "d")]
 
 
 def test_terms_and_ids(spark):
