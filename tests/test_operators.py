@@ -131,7 +131,7 @@ def test_delimiters_and_chunks():
     # what stands under a heading goes with the headings below it
     assert O.tree_chunks("in\n# A\nx x\n## B\ny y\n## C\nzz\n# D\nww") == ["in", "# A\nx x\n## B\ny y", "# A\nx x\n## C\nzz", "# D\nww"]
     assert O.tree_chunks("plain\nlines") == ["plain", "lines"] and O.tree_chunks("") == [] == O.hierarchical_chunks("")
-    assert O.hierarchical_chunks("# A\nx x\n## B\ny y\n# D\n# E") == [["# A", "x x"], ["# A", "## B", "y y"], ["# D", "# E"]]
+    assert O.hierarchical_chunks("# A\nx x\n## B\ny y\n# D\n# E", 8) == [["# A", "x x"], ["# A", "## B", "y y"], ["# D", "# E"]]
     assert O.family(["1. a", "2. b", "第三章 x"]) == 1 and O.family(["plain"]) == -1 and O.level("1.2 x", 1) == 2 and O.most_frequent_level(["1. a", "b", "2. c"], 1) == 2
     assert O.without_contents(["Contents", "", "1. A", "2. B", "1. A", "text"]) == ["1. A", "text"] and O.without_contents(["目 录"]) == []
     assert [O.numeral(t) for t in ("12", "twenty-one", "one hundred and five", "二十三", "一百零五", "三万五千", "XIV", "abc", "", None)] == [12, 21, 105, 23, 105, 35_000, 14, -1, -1, -1]
