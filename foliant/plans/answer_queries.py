@@ -78,11 +78,6 @@ def a24_page_count(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "orders").where("o_orderstatus = 'O'").agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / 30).alias("pages"))
 
 
-@query("""SELECT o_orderpriority, least(count(*) FILTER (o_orderstatus = 'O'), count(DISTINCT o_custkey)) AS queued FROM orders GROUP BY 1""")
-def a23_queue_length(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "orders").groupBy("o_orderpriority").agg(F.least(F.count_if(F.col("o_orderstatus") == "O"), F.countDistinct("o_custkey")).alias("queued"))
-
-
 @query(f"""WITH RECURSIVE {FOLDER_NODES}, top AS (SELECT id, id AS at FROM node WHERE parent IS NULL UNION ALL SELECT n.id, n.id FROM top JOIN node n ON n.parent = top.id),
   up AS (SELECT id, id AS top FROM top UNION ALL SELECT up.id, n.parent FROM up JOIN node n ON n.id = up.top WHERE n.parent IS NOT NULL),
   file AS (SELECT id, max(size_bytes) AS size FROM source_documents GROUP BY 1), own AS (SELECT folder_id, sum(size) AS size FROM (SELECT DISTINCT folder_id, document_id FROM membership) m JOIN file ON file.id = m.document_id GROUP BY 1)

@@ -43,22 +43,17 @@ def e6_first_observation(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "pending").groupBy("source_id", "epoch", "generation").agg(F.min("change_no").alias("change_no")).select("change_no")
 
 
-def e1_ordered_log(s: SparkSession, d: str) -> DataFrame:
-    """Events as an ordered log of each user (an order of 1, 2, 3 … would be all OK; here the event numbers leave gaps)."""
-    rows = _stream(s, d, "events").select(
-        F.col("user_id").cast("string").alias("source_id"), F.lit(1).cast("bigint").alias("epoch"), F.col("event_id").alias("sequence"), F.col("event_type").alias("digest"), F.col("event_id").alias("arrival")
-    )
-    return E.run_available(E.ordered_log(rows)).select("source_id", "sequence", "outcome")
-
-
-@query("""SELECT w.source_id, w.path, w.change_no FROM (SELECT source_id, path, change_no, lower(trim(kind)) AS kind, epoch, generation FROM pending) w WHERE kind IN ('create', 'upsert', 'move') AND NOT EXISTS (
-  SELECT 1 FROM pending t WHERE lower(trim(t.kind)) = 'delete' AND t.source_id = w.source_id AND t.path = w.path AND (t.epoch > w.epoch OR (t.epoch = w.epoch AND t.generation >= w.generation)))""")
+@query("""SELECT DISTINCT w.source_id, w.path, w.change_no FROM (SELECT source_id, path, change_no, lower(trim(kind)) AS kind, epoch, generation FROM pending) w WHERE kind IN ('create', 'upsert', 'move') AND NOT EXISTS (
+  SELECT 1 FROM pending t WHERE lower(trim(t.kind)) = 'delete' AND t.source_id = w.source_id AND (t.path = w.path OR starts_with(w.path, t.path || '/')) AND (t.epoch > w.epoch OR (t.epoch = w.epoch AND t.generation >= w.generation)))""")
 def e5_tombstone_fence(s: SparkSession, d: str) -> DataFrame:
-    """Writes that no tombstone of the same path fences off, wherever it came in the feed."""
+    """Writes that no tombstone of the same path or of a folder above it fences off, wherever it came in the feed; a change once, however often it came."""
     rows = load(s, d, "pending").withColumn("kind", F.lower(F.trim("kind")))
-    fence = rows.where("kind = 'delete'").groupBy("source_id", "path").agg(F.max(F.struct("epoch", "generation")).alias("fence"))
-    writes = rows.where("kind in ('create', 'upsert', 'move')").join(fence, ["source_id", "path"], "left")
-    return writes.where(F.col("fence").isNull() | (F.col("fence") < F.struct("epoch", "generation"))).select("source_id", "path", "change_no")
+    fence = rows.where("kind = 'delete'").groupBy("source_id", F.col("path").alias("prefix")).agg(F.max(F.struct("epoch", "generation")).alias("fence"))
+    writes = rows.where("kind in ('create', 'upsert', 'move')").select("source_id", "path", "change_no", F.struct("epoch", "generation").alias("at"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    met = writes.withColumn("prefix", F.explode_outer(above)).join(fence, ["source_id", "prefix"], "left")
+    return met.groupBy("source_id", "path", "change_no").agg(F.max(F.coalesce(F.col("fence") >= F.col("at"), F.lit(False))).alias("gone")).where("not gone").select("source_id", "path", "change_no")
 
 
 @query("""WITH m AS (SELECT change_no, source_id, old_path, path FROM pending WHERE lower(trim(kind)) = 'move' AND old_path IS NOT NULL AND old_path <> ''), k AS (SELECT DISTINCT source_id, path FROM pending WHERE lower(trim(kind)) IN ('create', 'upsert'))
@@ -75,5 +70,3 @@ def extra_window_counts(s: SparkSession, d: str) -> DataFrame:
     """Event-time windows, an extra: the reference has none."""
     return load(s, d, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("day"), "event_type", "n")
 
-
-QUERIES["e1_ordered_log"] = e1_ordered_log

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +59,8 @@ def read_qrels(spark: SparkSession, path: str, kind: str) -> DataFrame:
 class VersionedSets:
     """Sets of rows under one folder: staged, checked, activated by a pointer, purged when superseded.
 
-    A pointer is a small table (name, version, rows); activation replaces it only if it still has the version that the caller saw.
+    Pointers are small files (name, version, number), the greatest number counts; activation creates the next one, which only one of
+    several writers can, and only if the active version is the one that the caller saw.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -83,7 +86,17 @@ class VersionedSets:
         if self.active(name) != expected or self.spark.read.parquet(f"{self.folder}/{name}/{version}").count() != rows:
             return False
         number = max((r["number"] for r in self._pointers() if r["name"] == name), default=0) + 1
-        self.spark.createDataFrame([(name, version, number)], "name string, version string, number int").coalesce(1).write.mode("append").json(f"{self.folder}/pointers")
+        # two writers want the same number: the file can be created only once
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointers/{name}-{number:09d}.json")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray((json.dumps({"name": name, "version": version, "number": number}) + "\n").encode()))
+        out.close()
         return True
 
     def read(self, name: str) -> DataFrame:
@@ -93,11 +106,12 @@ class VersionedSets:
         return self.spark.read.parquet(f"{self.folder}/{name}/{version}")
 
     def purge(self, name: str) -> int:
-        """Remove every set but the active one; the number removed."""
+        """Remove the sets that were active once and are no longer; the number removed. What is staged and not yet active stays."""
         keep = self.active(name)
+        before = {r["version"] for r in self._pointers() if r["name"] == name} - {keep}
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return 0
-        gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() != keep]
+        gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() in before]
         return sum(bool(fs.delete(p, True)) for p in gone)

@@ -25,6 +25,16 @@ def test_json():
     value = {"a": {"b": "x" * 60, "c": "y" * 60}, "l": [1, 2]}
     pieces = parsers.json_chunks(value, 100)
     assert len(pieces) > 1 and {k for p in pieces for k in p} == {"a", "l"} and all(len(json.dumps(p)) <= 110 for p in pieces)
+    assert parsers.json_chunks(0) == [0] and parsers.json_chunks(None) == parsers.json_chunks({}) == parsers.json_chunks("") == []
+    assert parsers.json_chunks([{"a": 1}, "x"]) == [{"0": {"a": 1}, "1": "x"}] and parsers.json_chunks({"a": [], "b": {}}) == [{"a": {}, "b": {}}]
+    many = {f"k{i}": {"t": "é" * (i * 13 % 90), "n": [i, {"m": "y" * (i % 40)}]} for i in range(200)}
+    cut = parsers.json_chunks(many, 600, 300)
+    assert all(len(json.dumps(c, ensure_ascii=False)) < 600 for c in cut) and sum(len(json.dumps(c, ensure_ascii=False)) >= 300 for c in cut[:-1]) == len(cut) - 1
+    merged: dict = {}
+    for c in cut:
+        for k, v in c.items():
+            merged.setdefault(k, {}).update(v) if "n" not in merged.get(k, {}) else merged[k]["n"].update(v.get("n", {}))
+    assert merged == {k: {"t": v["t"], "n": {"0": v["n"][0], "1": v["n"][1]}} for k, v in many.items()}
     assert parsers.is_json_lines('{"a":1}\n{"a":2}') and not parsers.is_json_lines('[{"a":1}]') and not parsers.is_json_lines("a\nb")
 
 
@@ -66,6 +76,10 @@ def test_versioned_sets(spark, tmp_path):
     second = sets.stage("chunks", spark.range(5))
     assert not sets.activate("chunks", second, "other", 5) and sets.activate("chunks", second, first, 5)
     assert sets.read("chunks").count() == 5 and sets.purge("chunks") == 1 and sets.read("chunks").count() == 5
+    third = sets.stage("chunks", spark.range(7))
+    assert sets.purge("chunks") == 0 and sets.activate("chunks", third, second, 7) and sets.read("chunks").count() == 7
+    fresh = sets.stage("other", spark.range(2))
+    assert sets.purge("other") == 0 and sets.activate("other", fresh, None, 2) and not sets.activate("other", fresh, None, 2)
 
 
 def outcomes(step, rows):
