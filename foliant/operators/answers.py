@@ -47,24 +47,21 @@ def tag_weights(tagged: DataFrame, corpus: DataFrame, top: int = 3, smooth: floa
 
 
 def citations(pieces: DataFrame, sources: DataFrame, similarity: Column, start: float = 0.63, floor: float = 0.3, most: int = 4) -> DataFrame:
-    """(query, piece, key): up to ``most`` sources for each piece of an answer, each source with a score near the piece's best.
-
-    The threshold falls by a fifth until some piece of the answer has a citation; the passes are bounded by start and floor.
-    pieces (query, piece, …) and sources (query, key, …) meet within their query; a source is cited once in an answer."""
-    pairs = pieces.join(sources, "query").withColumn("sim", similarity)
-    best = F.max("sim").over(W.partitionBy("query", "piece"))
-    top = F.max("sim").over(W.partitionBy("query"))
-    rows = pairs.withColumn("best", best).withColumn("top", top)
+    """(query, piece, key): up to ``most`` sources for each piece of an answer, those within a hundredth of the piece's best.
+
+    A piece counts if 0.99 of its best reaches the threshold, which falls by a fifth until some piece of the answer counts; the passes are
+    bounded by start and floor. pieces (query, piece, …) and sources (query, key, …) meet within their query; a source is cited once in an
+    answer, at the first piece that would cite it."""
+    rows = pieces.join(sources, "query").withColumn("sim", similarity)
+    rows = rows.withColumns({"best": 0.99 * F.max("sim").over(W.partitionBy("query", "piece")), "top": 0.99 * F.max("sim").over(W.partitionBy("query"))})
     threshold = F.lit(None).cast("double")
     at = start
     while at > floor:
         threshold = F.coalesce(threshold, F.when(F.col("top") >= at, F.lit(at)))
         at *= 0.8
-    near = rows.withColumn("limit", threshold).where((F.col("best") >= F.col("limit")) & (F.col("sim") > 0.99 * F.col("best")))
-    order = W.partitionBy("query", "piece").orderBy(F.desc("sim"), "key")
-    cited = near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
-    once = W.partitionBy("query", "key").orderBy(F.desc("sim"), "piece")
-    return cited.withColumn("again", F.row_number().over(once)).where("again = 1").select("query", "piece", "key")
+    near = rows.withColumn("limit", threshold).where((F.col("best") >= F.col("limit")) & (F.col("sim") > F.col("best")))
+    cited = near.withColumn("rn", F.row_number().over(W.partitionBy("query", "piece").orderBy(F.desc("sim"), "key"))).where(F.col("rn") <= most)
+    return cited.groupBy("query", "key").agg(F.min("piece").alias("piece")).select("query", "piece", "key")
 
 
 def pack(rows: DataFrame, budget: int) -> DataFrame:
@@ -130,14 +127,19 @@ def organisation_key(name: Column) -> Column:
 
 
 def dictionary_match(rows: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
-    """(key, entry): the first entry (by place) that equals an alphanumeric key or lies in a longer text, by its words.
+    """(key, entry): the first entry (by place) that fits a text. An entry of ASCII letters, digits, dots, commas and blanks must be the whole
+    text, any other may stand anywhere in it, one of less than three characters only in a text less than twice as long.
 
-    The theta join becomes an equi-join on the entry's first word; entries (entry, place)."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    asked = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
-    given = entries.select("entry", "place", words(F.col("entry")).alias("w")).where("size(w) > 0").select("entry", "place", F.element_at("w", 1).alias("word"))
-    hits = asked.join(given, "word").where(F.lower("text").contains(F.lower("entry")))
-    return hits.groupBy("key").agg(F.min_by("entry", "place").alias("entry"))
+    The theta join becomes equi-joins: on the text, and on the first two characters of an entry against all pairs of the text.
+    entries (entry, place); a text that is null matches nothing."""
+    asked = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    plain = F.col("entry").rlike("^[0-9a-zA-Z., ]+$")
+    same = asked.join(entries.where(plain).withColumnRenamed("entry", "text"), "text").select("key", F.col("text").alias("entry"), "place")
+    inner = entries.where(~plain & (F.length("entry") > 0)).withColumn("gram", F.substring("entry", 1, 2))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.array(F.substr("text", i, F.lit(1)), F.substr("text", i, F.lit(2))))))
+    met = asked.withColumn("gram", F.explode(grams)).join(inner, "gram").where(F.col("text").contains(F.col("entry")))
+    met = met.where((F.length("entry") >= 3) | (F.length("text") < 2 * F.length("entry"))).select("key", "entry", "place")
+    return same.unionByName(met).groupBy("key").agg(F.min_by("entry", F.struct("place", "entry")).alias("entry"))
 
 
 def overlapping_boxes(a: DataFrame, b: DataFrame, band: int = 64) -> DataFrame:
@@ -150,7 +152,7 @@ def overlapping_boxes(a: DataFrame, b: DataFrame, band: int = 64) -> DataFrame:
     width = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
     height = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
     met = left.join(right, ["page", "band"]).where((width > 0) & (height > 0)).select("a_id", "b_id", (width * height).alias("area")).distinct()
-    return met.groupBy(F.col("a_id").alias("a")).agg(F.max_by("b_id", F.struct("area", (-F.xxhash64(F.col("b_id"))).alias("h"))).alias("b"), F.max("area").alias("area"))
+    return met.groupBy(F.col("a_id").alias("a")).agg(F.min_by("b_id", F.struct((-F.col("area")).alias("area"), "b_id")).alias("b"), F.max("area").alias("area"))
 
 
 def overlapping_boxes_within(boxes: DataFrame, band: int = 64) -> DataFrame:

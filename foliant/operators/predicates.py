@@ -129,7 +129,7 @@ def metadata_test(value: Column, op: str, wanted: Any) -> Column:
     containment in that string, with a list membership. A row without the key is no bucket and never matches.
     """
     op = ALIASES.get(op, op)
-    text = F.lower(F.trim(value))
+    text = F.lower(value)
     if op == "empty":
         return value == ""
     if op == "not empty":
@@ -140,7 +140,7 @@ def metadata_test(value: Column, op: str, wanted: Any) -> Column:
         else:
             hit = F.lit(str(wanted).lower()).contains(text)
         return hit if op == "in" else ~hit
-    word = str(wanted).strip().lower()
+    word = str(wanted).lower()
     if op == "contains":
         return text.contains(word)
     if op == "not contains":
@@ -150,8 +150,8 @@ def metadata_test(value: Column, op: str, wanted: Any) -> Column:
     if op == "end with":
         return text.endswith(word)
     compare = {"=": lambda a, b: a == b, "≠": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b, "≥": lambda a, b: a >= b, "≤": lambda a, b: a <= b}[op]
-    if re.match(_DATE, word):
-        return F.trim(value).rlike(_DATE) & compare(F.trim(value), F.lit(word))
+    if re.match(_DATE, word.strip()):  # only dates are compared without the white space around them
+        return F.trim(value).rlike(_DATE) & compare(F.trim(value), F.lit(word.strip()))
     number = text.try_cast("double")
     try:
         wanted_number = float(word)

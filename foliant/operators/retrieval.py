@@ -51,7 +51,7 @@ def idf(n: Column, df_: Column) -> Column:
 def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, boost: float = 1.0) -> DataFrame:
     """(query, key, score, matched): BM25 with Lucene's idf; ``queries`` is (query, term)."""
     asked = queries.select("term").distinct()
-    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"), *([F.col(vector).cast("array<double>").alias("v")] if vector else [])).withColumn("dl", F.size("w"))
     if phrases:
         pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
         worded = worded.withColumn("w", F.concat("w", pairs))
@@ -95,17 +95,30 @@ def top(hits: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return hits.withColumn("score", F.round("score", digits)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query", "key", "score", "place")
 
 
-def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int, model: str = "bm25", least: float | None = None, whole: float | None = None, keep_self: bool = True, phrases: bool = False) -> DataFrame:
+def _directions(vectors: dict, names) -> np.ndarray:
+    """A row of unit length for each name; zeros for what has no vector or none of any length."""
+    width = max((len(v) for v in vectors.values() if v is not None), default=0)
+    out = np.zeros((len(names), width))
+    for i, name in enumerate(names):
+        v = vectors.get(name)
+        if v is not None and len(v) == width:
+            out[i] = v
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+
+
+def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: int, model: str = "bm25", least: float | None = None, whole: float | None = None, keep_self: bool = True, phrases: bool = False, vector: str | None = None, query_vectors: DataFrame | None = None, vector_weight: float = 0.0) -> DataFrame:
     """(query, key, score, place): the k best texts of each query, scored while the corpus is read.
 
     queries is (query, term) or (query, term, weight). A first pass counts in how many texts the asked terms are; then each task adds
     up the scores of its own texts against a block of queries and hands on its k best, so what is shuffled follows the
     queries and not the matches. model: bm25, or scripted (each term once, its idf over that of a term in one text). With ``least``,
     texts need max(1, floor(least * terms)) of a query's terms; with ``whole``, texts with all of them count so many times. With ``phrases``, a term of two
-    words is found where they stand side by side."""
+    words is found where they stand side by side. With ``vector`` (a column of the corpus) and query_vectors (query, v), the score of a text
+    that matches is (1 - vector_weight) of it and vector_weight of (1 + cosine) / 2, 0 where either has no vector."""
     weight = F.col("weight").cast("double") if "weight" in queries.columns else F.lit(1.0)
     asked = queries.select("query", "term", weight.alias("weight"))
-    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    worded = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("w"), *([F.col(vector).cast("array<double>").alias("v")] if vector else [])).withColumn("dl", F.size("w"))
     if phrases:
         pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
         worded = worded.withColumn("w", F.concat("w", pairs))
@@ -128,10 +141,14 @@ def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: i
         n_terms = np.zeros(len(names), np.int64)
         n_terms[query_of] = block["terms"]
         starts = np.searchsorted(word_of[order], np.arange(len(words) + 1))
-        sent = corpus.sparkSession.sparkContext.broadcast((words, starts, query_of[order], block["part"].to_numpy(np.float64)[order], names, n_terms))
+        directions = None
+        if vector:
+            given = query_vectors.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).where("v is not null").toPandas()
+            directions = _directions({q: v for q, v in zip(given["query"], given["v"], strict=True)}, list(names))
+        sent = corpus.sparkSession.sparkContext.broadcast((words, starts, query_of[order], block["part"].to_numpy(np.float64)[order], names, n_terms, directions))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            words, starts, query_of, part, names, n_terms = sent.value
+            words, starts, query_of, part, names, n_terms, directions = sent.value
             known, best = pa.array(words, pa.string()), TopK(len(names), k)
             for batch in batches:
                 keys = batch.column("key").to_numpy(zero_copy_only=False)
@@ -143,6 +160,7 @@ def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: i
                 share = tf / (tf + K1 * (1 - B + B * dl[text_of] / avgdl)) if model == "bm25" else np.ones(len(tf))
                 wide = starts[term + 1] - starts[term]
                 ends = np.cumsum(wide)
+                texts = None if directions is None else _directions(dict(enumerate(batch.column("v").to_pylist())), range(len(keys)))
                 lo = 0
                 while lo < len(pair):  # whole texts, so many that their matches fit
                     hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MATCHES_AT_ONCE, "right"))
@@ -154,6 +172,11 @@ def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: i
                     matched, q = np.bincount(back, minlength=len(hit)), hit % len(names)
                     if whole is not None:
                         score = np.where(matched >= n_terms[q], np.maximum(score, whole * score), score)
+                    if directions is not None:
+                        own = texts[hit // len(names)]
+                        cos = (own * directions[q]).sum(axis=1) if own.shape[1] == directions.shape[1] else np.zeros(len(hit))
+                        near = np.where(own.any(axis=1) & directions[q].any(axis=1), (1 + cos) / 2, 0.0) if own.shape[1] else np.zeros(len(hit))
+                        score = (1 - vector_weight) * score + vector_weight * near
                     ok = np.ones(len(hit), bool) if least is None else matched >= np.maximum(1, np.floor(least * n_terms[q] + 1e-9))
                     if not keep_self:
                         ok &= names[q] != keys[hit // len(names)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions.normalise import without_ending
 from foliant.operators import answers as N
 from foliant.operators import hierarchy as H
 from foliant.operators import retrieval as V
@@ -51,13 +52,21 @@ def r24_tag_weights(s: SparkSession, d: str) -> DataFrame:
     return N.tag_weights(t, t.select("tag"))
 
 
+_SENTENCES = r"list_filter(list_transform(regexp_extract_all(content, '[^.。！？!?；;：:\n]*[.。！？!?；;：:\n]|[^.。！？!?；;：:\n]+$'), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(13))), lambda p: p <> '')"
+_DISTINCT = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
+
+
+@query(f"""WITH c AS (SELECT chunk_id, doc_id, chunk_order, content FROM {LATEST_CHUNKS} WHERE content IS NOT NULL AND chunk_order IS NOT NULL), x AS (SELECT chunk_id AS query, doc_id, chunk_order, {_SENTENCES} AS x FROM c),
+  s AS (SELECT query, doc_id, chunk_order, unnest(x) AS sentence, generate_subscripts(x, 1) - 1 AS piece FROM x), p AS (SELECT query, doc_id, chunk_order, piece, {_DISTINCT.format('sentence')} AS p FROM s WHERE length(sentence) >= 5),
+  m AS (SELECT p.query, piece, c.chunk_id AS key, len(list_intersect(p, {_DISTINCT.format('content')})) / greatest(len(p), 1) AS sim FROM p JOIN c ON c.doc_id = p.doc_id AND c.chunk_order BETWEEN p.chunk_order - 2 AND p.chunk_order + 2 AND c.chunk_id <> p.query),
+  b AS (SELECT *, 0.99 * max(sim) OVER (PARTITION BY query, piece) AS best, 0.99 * max(sim) OVER (PARTITION BY query) AS top FROM m), l AS (SELECT *, CASE WHEN top >= 0.63 THEN 0.63 WHEN top >= 0.63 * 0.8 THEN 0.63 * 0.8 WHEN top >= 0.63 * 0.8 * 0.8 THEN 0.63 * 0.8 * 0.8 WHEN top >= 0.63 * 0.8 * 0.8 * 0.8 THEN 0.63 * 0.8 * 0.8 * 0.8 END AS lim FROM b),
+  n AS (SELECT query, piece, key FROM l WHERE best >= lim AND sim > best QUALIFY row_number() OVER (PARTITION BY query, piece ORDER BY sim DESC, key) <= 4) SELECT query, min(piece) AS piece, key FROM n GROUP BY query, key""")
 def r27_citations(s: SparkSession, d: str) -> DataFrame:
-    """Sentences of every twentieth chunk of a file against the chunks up to two places away."""
+    """Sentences of every chunk against the other chunks of its file up to two places away, by their words."""
     rows = chunks_now(s, d, "chunk_id", "doc_id", "chunk_order", "content").where("content is not null and chunk_order is not null")
-    seeds = rows.where("chunk_order % 20 = 0")
-    pieces = seeds.select(F.col("chunk_id").alias("query"), F.posexplode(X.sentences(F.col("content"))).alias("piece", "sentence")).where(F.length("sentence") >= 5).select("query", "piece", F.array_distinct(V.tokens(F.col("sentence"))).alias("p"))
-    wanted = seeds.select(F.col("chunk_id").alias("query"), "doc_id", F.explode(F.sequence(F.col("chunk_order") - 2, F.col("chunk_order") + 2)).alias("chunk_order"))
-    sources = wanted.join(rows.select("doc_id", "chunk_order", F.col("chunk_id").alias("key"), F.array_distinct(V.tokens(F.col("content"))).alias("w")), ["doc_id", "chunk_order"]).select("query", "key", "w")
+    pieces = rows.select(F.col("chunk_id").alias("query"), F.posexplode(X.sentences(F.col("content"))).alias("piece", "sentence")).where(F.length("sentence") >= 5).select("query", "piece", F.array_distinct(V.tokens(F.col("sentence"))).alias("p"))
+    wanted = rows.select(F.col("chunk_id").alias("query"), "doc_id", F.explode(F.sequence(F.col("chunk_order") - 2, F.col("chunk_order") + 2)).alias("chunk_order"))
+    sources = wanted.join(rows.select("doc_id", "chunk_order", F.col("chunk_id").alias("key"), F.array_distinct(V.tokens(F.col("content"))).alias("w")), ["doc_id", "chunk_order"]).where("query <> key").select("query", "key", "w")
     share = F.size(F.array_intersect("p", "w")) / F.greatest(F.size("p"), F.lit(1))
     return N.citations(pieces, sources, share)
 
@@ -107,13 +116,15 @@ def u8_neighbour_jaccard(s: SparkSession, d: str) -> DataFrame:
 
 
 #: Names looked for in file names; the first in this order counts.
-_ENTRIES = ["asset ledger", "calibration sheet", "work permit", "drawing set", "archive", "chunk index", "plan"]
+_ENTRIES = ["asset ledger", "점검보고서", "예산안", "공장", "창고", "정비계획", "시험성적서", "inspection report branch 2013 vr-3674", "maintenance plan", "계약서", "보존", "work_permit", "-network-"]
 
 
-@query(f"""SELECT d.doc_id AS key, arg_min(e.entry, e.place) AS entry FROM (SELECT DISTINCT doc_id, docnm_kwd FROM documents) d JOIN (VALUES {", ".join(f"('{x}', {i})" for i, x in enumerate(_ENTRIES))}) e(entry, place) ON contains(lower(d.docnm_kwd), e.entry) AND list_contains(regexp_extract_all(lower(d.docnm_kwd), '[\\p{{L}}\\p{{N}}]+'), string_split(e.entry, ' ')[1]) GROUP BY 1""")
+@query(f"""WITH n AS (SELECT DISTINCT doc_id, lower(regexp_replace(docnm_kwd, '\\.[a-zA-Z0-9]{{1,8}}$', '')) AS t FROM documents WHERE docnm_kwd IS NOT NULL), e AS (SELECT * FROM (VALUES {", ".join(f"('{x}', {i})" for i, x in enumerate(_ENTRIES))}) v(entry, place))
+  SELECT doc_id AS key, arg_min(entry, place) AS entry FROM n JOIN e ON CASE WHEN regexp_full_match(entry, '[0-9a-zA-Z., ]+') THEN t = entry ELSE contains(t, entry) AND (length(entry) >= 3 OR length(t) < 2 * length(entry)) END GROUP BY 1""")
 def j25_dictionary(s: SparkSession, d: str) -> DataFrame:
     entries = s.createDataFrame([(x, i) for i, x in enumerate(_ENTRIES)], "entry string, place int")
-    return N.dictionary_match(load(s, d, "documents"), "doc_id", "docnm_kwd", entries)
+    rows = load(s, d, "documents").where("docnm_kwd is not null").select("doc_id", F.lower(without_ending(F.col("docnm_kwd"))).alias("name"))
+    return N.dictionary_match(rows, "doc_id", "name", entries)
 
 
 _BOXES = """SELECT chunk_id AS id, p[1] AS page, p[2] AS x0, p[4] AS y0, p[3] AS x1, p[5] AS y1, doc_id FROM (SELECT chunk_id, doc_id, positions[1] AS p FROM (SELECT DISTINCT chunk_id, doc_id, positions FROM chunks WHERE len(positions) > 0))"""
@@ -153,4 +164,4 @@ def e12_purge_candidates(s: SparkSession, d: str) -> DataFrame:
     return f.join(live, ["id", "active_chunk_set_id"], "left").where("doc_status = '0' or live is null").select("id", "update_date")
 
 
-QUERIES |= {f.__name__: f for f in (r27_citations, r28_pack)}
+QUERIES["r28_pack"] = r28_pack

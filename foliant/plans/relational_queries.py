@@ -142,23 +142,23 @@ _EAV = """eav AS (SELECT doc_id, unnest(['lang', 'source', 'doc_type', 'n_chars'
 
 #: name -> (filters, logic, condition of DuckDB over e for each filter)
 _METADATA = {
-    "f8_eq": ([("source", "=", "Manual")], "and", ["key = 'source' AND lower(trim(value)) = 'manual'"]),
-    "f8_ne": ([("lang", "≠", "en")], "and", ["key = 'lang' AND lower(trim(value)) <> 'en'"]),
+    "f8_eq": ([("source", "=", "Manual")], "and", ["key = 'source' AND lower(value) = 'manual'"]),
+    "f8_ne": ([("lang", "≠", "en")], "and", ["key = 'lang' AND lower(value) <> 'en'"]),
     "f8_gt": ([("n_chars", ">", 900)], "and", ["key = 'n_chars' AND CAST(value AS DOUBLE) > 900"]),
     "f8_lt": ([("n_chars", "<", "300")], "and", ["key = 'n_chars' AND CAST(value AS DOUBLE) < 300"]),
     "f8_ge_date": ([("created", ">=", "2024-01-15")], "and", ["key = 'created' AND value >= '2024-01-15'"]),
     "f8_le_date": ([("created", "≤", "2023-12-31")], "and", ["key = 'created' AND value <= '2023-12-31'"]),
-    "f8_in_string": ([("lang", "in", "en,fr")], "and", ["key = 'lang' AND contains('en,fr', lower(trim(value)))"]),
-    "f8_in_list": ([("source", "in", ["Report", "minutes"])], "and", ["key = 'source' AND lower(trim(value)) IN ('report', 'minutes')"]),
-    "f8_not_in": ([("source", "not in", ["manual"])], "and", ["key = 'source' AND lower(trim(value)) NOT IN ('manual')"]),
-    "f8_contains": ([("source", "contains", "note")], "and", ["key = 'source' AND contains(lower(trim(value)), 'note')"]),
-    "f8_not_contains": ([("doc_type", "not contains", "x")], "and", ["key = 'doc_type' AND NOT contains(lower(trim(value)), 'x')"]),
-    "f8_start_with": ([("doc_type", "start with", "p")], "and", ["key = 'doc_type' AND starts_with(lower(trim(value)), 'p')"]),
-    "f8_end_with": ([("doc_type", "end with", "x")], "and", ["key = 'doc_type' AND suffix(lower(trim(value)), 'x')"]),
+    "f8_in_string": ([("lang", "in", "en,fr")], "and", ["key = 'lang' AND contains('en,fr', lower(value))"]),
+    "f8_in_list": ([("source", "in", ["Report", "minutes"])], "and", ["key = 'source' AND lower(value) IN ('report', 'minutes')"]),
+    "f8_not_in": ([("source", "not in", ["manual"])], "and", ["key = 'source' AND lower(value) NOT IN ('manual')"]),
+    "f8_contains": ([("source", "contains", "note")], "and", ["key = 'source' AND contains(lower(value), 'note')"]),
+    "f8_not_contains": ([("doc_type", "not contains", "x")], "and", ["key = 'doc_type' AND NOT contains(lower(value), 'x')"]),
+    "f8_start_with": ([("doc_type", "start with", "p")], "and", ["key = 'doc_type' AND starts_with(lower(value), 'p')"]),
+    "f8_end_with": ([("doc_type", "end with", "x")], "and", ["key = 'doc_type' AND suffix(lower(value), 'x')"]),
     "f8_empty": ([("source", "empty", None)], "and", ["key = 'source' AND value = ''"]),
     "f8_not_empty": ([("source", "not empty", None)], "and", ["key = 'source' AND value <> ''"]),
-    "f8_and": ([("lang", "=", "en"), ("n_chars", ">", 500), ("doc_type", "≠", "pdf")], "and", ["key = 'lang' AND lower(trim(value)) = 'en'", "key = 'n_chars' AND CAST(value AS DOUBLE) > 500", "key = 'doc_type' AND lower(trim(value)) <> 'pdf'"]),
-    "f8_or": ([("lang", "is", "ja"), ("source", "=", "scan")], "or", ["key = 'lang' AND lower(trim(value)) = 'ja'", "key = 'source' AND lower(trim(value)) = 'scan'"]),
+    "f8_and": ([("lang", "=", "en"), ("n_chars", ">", 500), ("doc_type", "≠", "pdf")], "and", ["key = 'lang' AND lower(value) = 'en'", "key = 'n_chars' AND CAST(value AS DOUBLE) > 500", "key = 'doc_type' AND lower(value) <> 'pdf'"]),
+    "f8_or": ([("lang", "is", "ja"), ("source", "=", "scan")], "or", ["key = 'lang' AND lower(value) = 'ja'", "key = 'source' AND lower(value) = 'scan'"]),
 }
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import normalise as N
+from foliant.operators import pipeline as G
 from foliant.operators import retrieval as V
 from foliant.operators import rewrite as Q
 from foliant.operators import text as X
 from foliant.plans.registry import Registry
-from foliant.plans.retrieval_queries import _TOP
+from foliant.plans.retrieval_queries import _LEXICAL, _TOP
 from foliant.sources.tables import load
 
 _R = Registry()
@@ -167,3 +168,42 @@ def r3_search(s: SparkSession, d: str) -> DataFrame:
     """BM25 with the weights and phrases of rewritten questions: every twentieth document's question against all texts."""
     asked = Q.scoring_terms(Q.word_query(_questions(s, d).where("doc_id % 20 = 0"), "doc_id", "question"))
     return V.lexical_top(load(s, d, "documents").select("doc_id", "text"), "doc_id", "text", asked, 10, phrases=True)
+
+
+_SIDES = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), side AS (SELECT doc_id AS query, docnm_kwd AS question, v FROM documents LEFT JOIN e ON vec_id = doc_id WHERE doc_id % 20 = 0 AND docnm_kwd IS NOT NULL),
+  ok AS (SELECT hit.* FROM hit JOIN (SELECT query, count(*) AS n FROM q GROUP BY 1) USING (query) WHERE matched >= greatest(1, floor(0.3 * n)))"""
+_SHARE = "len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+')), regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+'))) / greatest(len(list_distinct(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+'))), 1)"
+_PAGE = """row_number() OVER (PARTITION BY query ORDER BY score DESC, spot) AS place, count(*) OVER (PARTITION BY query) AS total FROM s WHERE score >= {}), p AS (SELECT query, key, document, score, place, total FROM r WHERE place BETWEEN {} AND {}) SELECT * FROM p"""
+
+
+def _asked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every twentieth file name as a question to all texts; texts whose number a vector has go with it."""
+    docs, e = load(s, d, "documents"), load(s, d, "embeddings")
+    rows = docs.join(e, docs["doc_id"] == e["vec_id"], "left").select("doc_id", "docnm_kwd", "kb_id", "text", F.col("embedding").cast("array<double>").alias("v"))
+    chunks = rows.select(F.col("doc_id").alias("key"), F.col("kb_id").alias("document"), F.col("text").alias("content"), "v")
+    return rows.where("doc_id % 20 = 0 and docnm_kwd is not null").select(F.col("doc_id").alias("query"), F.col("docnm_kwd").alias("question"), "v"), chunks
+
+
+def _page_sql(threshold: float, first: int, last: int) -> str:
+    return _PAGE.format(threshold, first, last)
+
+
+@query(f"""WITH {_LEXICAL}, {_SIDES}, t AS ({_TOP.format('ok', 64)}), s AS (SELECT query, key, kb_id AS document, score, place AS spot FROM t JOIN documents ON doc_id = key), r AS (SELECT *, {_page_sql(0.0, 6, 10)}""")
+def r11_words(s: SparkSession, d: str) -> DataFrame:
+    """The second page of five by words alone."""
+    return G.retrieve(*_asked(s, d), mode="bm25", page=2, size=5)
+
+
+@query(f"""WITH {_LEXICAL}, {_SIDES}, c AS (SELECT query, vec_id AS key, list_cosine_similarity(side.v, e.v) AS score FROM side, e WHERE side.v IS NOT NULL), f AS (SELECT * FROM c WHERE round(score, 6) > 0.2 - 1e-12 AND key IN (SELECT doc_id FROM documents)), t AS ({_TOP.format('f', 64)}),
+  s AS (SELECT query, key, kb_id AS document, round(score, 6) AS score, place AS spot FROM t JOIN documents ON doc_id = key), r AS (SELECT *, {_page_sql(0.2, 1, 10)}""")
+def r11_dense(s: SparkSession, d: str) -> DataFrame:
+    return G.retrieve(*_asked(s, d), mode="dense")
+
+
+@query(f"""WITH {_LEXICAL}, {_SIDES}, first AS (SELECT query, key, 0.05 * hit.score + 0.95 * coalesce((1 + list_cosine_similarity(x.v, y.v)) / 2, 0) AS score, matched >= greatest(1, floor(0.3 * n)) AS strict, matched >= greatest(1, floor(0.1 * n)) AS loose
+    FROM hit JOIN (SELECT query, count(*) AS n FROM q GROUP BY 1) USING (query) LEFT JOIN e x ON x.vec_id = query LEFT JOIN e y ON y.vec_id = key),
+  whole AS (SELECT query, key, score FROM first WHERE strict OR (loose AND query NOT IN (SELECT query FROM first WHERE strict))), t AS ({_TOP.format('whole', 64)}),
+  s AS (SELECT t.query, t.key, d.kb_id AS document, round(0.7 * ({_SHARE}) + 0.3 * coalesce(list_cosine_similarity(side.v, y.v), 0), 6) AS score, place AS spot FROM t JOIN documents d ON d.doc_id = t.key JOIN side USING (query) LEFT JOIN e y ON y.vec_id = t.key), r AS (SELECT *, {_page_sql(0.2, 1, 10)}""")
+def r17_hybrid(s: SparkSession, d: str) -> DataFrame:
+    """Candidates by words and vectors, the retry, the rerank, the threshold and the page."""
+    return G.retrieve(*_asked(s, d))
