@@ -300,10 +300,10 @@ def j11_stale_hits(s: SparkSession, d: str) -> DataFrame:
   u AS (SELECT doc_id, chunk_order, min(chunk_id) AS chunk_id FROM c GROUP BY 1, 2),
   i AS (SELECT *, chunk_order - row_number() OVER (PARTITION BY doc_id ORDER BY chunk_order) AS island FROM u)
   SELECT a.chunk_id AS seed, b.chunk_id, b.chunk_order - a.chunk_order AS distance FROM i a JOIN i b ON a.doc_id = b.doc_id AND a.island = b.island
-  AND abs(a.chunk_order - b.chunk_order) <= 2 WHERE ends_with(a.chunk_id, '00')""")
+  AND abs(a.chunk_order - b.chunk_order) <= 2""")
 def j12_neighbours(s: SparkSession, d: str) -> DataFrame:
     rows = chunks_now(s, d, "chunk_id", "doc_id", "chunk_order").where("chunk_order is not null").groupBy("doc_id", "chunk_order").agg(F.min("chunk_id").alias("chunk_id"))
-    return R.neighbours(rows.where(F.col("chunk_id").endswith("00")), rows, ["doc_id"], "chunk_order", "chunk_id", 2)
+    return R.neighbours(rows, rows, ["doc_id"], "chunk_order", "chunk_id", 2)
 
 
 @query(f"""WITH c AS (SELECT chunk_id, mom_id, length(content) AS n FROM {LATEST_CHUNKS})

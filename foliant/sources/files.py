@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -15,6 +15,18 @@ from pyspark.sql import types as T
 from foliant.sources.parsers import parse
 
 
+def parsed(files: DataFrame, key: str, name: str, data: str, read: Callable[[str, bytes], list[str]] = parse) -> DataFrame:
+    """(key, place, block): the blocks of files that lie in a table, by their names; nulls give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, i, b) for k, n, d in zip(batch["key"], batch["name"], batch["data"], strict=True) if n is not None and d is not None for i, b in enumerate(read(n, bytes(d)))]
+            yield pd.DataFrame(rows, columns=["key", "place", "block"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(data).alias("data")).mapInPandas(run, f"key {kind}, place int, block string").withColumnRenamed("key", key)
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(path, place, block, error) of all files below a path; a file that can't be parsed has one row with its error."""
 
