@@ -40,29 +40,50 @@ def touches(changes: DataFrame) -> DataFrame:
     return rows.where(F.col("path_key").isNotNull())
 
 
+def _borders(rows: DataFrame, order: Sequence[str], shares: list[float]) -> list[tuple[float, ...]]:
+    """Values of the order columns below which about these shares of the rows lie; equal first values are told apart by the next column."""
+    if not shares:
+        return []
+    first, rest = order[0], order[1:]
+    values = rows.select(F.col(first).cast("double").alias(first), *rest)
+    found = values.approxQuantile(first, shares, 0.01)
+    if not rest:
+        return [(v,) for v in sorted(set(found))]
+    out: list[tuple[float, ...]] = []
+    for value in sorted(set(found)):
+        sizes = values.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(first).isNull() | (F.col(first) < value)).alias("below"), F.count_if(F.col(first) == value).alias("at")).first()
+        inner = [(share * sizes["n"] - sizes["below"]) / max(sizes["at"], 1) for share, v in zip(shares, found, strict=True) if v == value]
+        out += [(value, *border) for border in _borders(values.where(F.col(first) == value).select(*rest), rest, [min(max(x, 0.0), 1.0) for x in inner])]
+    return out
+
+
+def _above(position: list[Column], border: tuple[float, ...]) -> Column:
+    """Whether a place in the order is beyond a border."""
+    out = F.lit(False)
+    for at, value in reversed(list(zip(position, border, strict=True))):
+        out = (at > value) | ((at == value) & out)
+    return out
+
+
 def resolve_newest_first(touched: DataFrame, keys: Sequence[str], order: Sequence[str], batches: int = 3) -> DataFrame:
     """The newest row of every key: columns keys, order and live.
 
-    ``batches`` bounds the number of batches; their borders are quantiles of the first order column, so that a row in
-    a later batch is newer than every row of its key in an earlier one.
+    ``batches`` bounds the number of batches; their borders are quantiles along all order columns, so that a row in
+    a later batch is newer than every row of its key in an earlier one, and a feed of one epoch still has its batches.
     """
-    first = order[0]
-    borders: list[float] = []
-    if batches > 1:
-        wanted = [i / batches for i in range(1, batches)]
-        borders = sorted(set(touched.select(F.col(first).cast("double")).approxQuantile(first, wanted, 0.01)), reverse=True)
+    borders = sorted(set(_borders(touched.select(*order), order, [i / batches for i in range(1, batches)])), reverse=True)
     newest: Column = F.max(F.struct(*order, "live")).alias("_newest")
 
     def images(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
-    position = F.coalesce(F.col(first).cast("double"), F.lit(float("-inf")))
+    position = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) for c in order]
     resolved: DataFrame | None = None
-    above: float | None = None
+    above: tuple[float, ...] | None = None
     for border in [*borders, None]:
-        inside = F.lit(True) if border is None else position > border
+        inside = F.lit(True) if border is None else _above(position, border)
         if above is not None:
-            inside = inside & (position <= above)
+            inside = inside & ~_above(position, above)
         batch = images(touched.where(inside))
         if resolved is None:
             resolved = batch

@@ -51,3 +51,15 @@ def test_empty_and_base(spark):
 def test_hot_key(spark):
     rows = [("s", "a", None, "upsert", None, 1 + i // 500, i, None) for i in range(1500)]
     assert [tuple(r) for r in apply_changes(spark.createDataFrame(rows, SCHEMA)).collect()] == [("s", "a", 3, 1499)]
+
+
+def test_one_epoch_still_has_batches(spark):
+    from foliant.operators.changes import _borders
+
+    rows = spark.createDataFrame([(1, i) for i in range(900)] + [(2, 0), (None, 3)], "epoch bigint, generation bigint")
+    borders = _borders(rows, ["epoch", "generation"], [1 / 3, 2 / 3])
+    assert [e for e, _ in borders] == [1.0, 1.0] and abs(borders[0][1] - 300) < 30 and abs(borders[1][1] - 600) < 30
+    assert _borders(rows.limit(0), ["epoch", "generation"], [0.5]) == []
+    feed = [("s", f"p{i % 7}", None, "delete" if i % 5 == 0 else "upsert", None, 1, i, None) for i in range(200)]
+    for batches in (1, 2, 5):
+        assert {tuple(r) for r in apply_changes(spark.createDataFrame(feed, SCHEMA), batches=batches).collect()} == replay(feed)
