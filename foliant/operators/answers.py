@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.operators.chunking import count_tokens
 
@@ -195,6 +196,49 @@ def edit_metadata(meta: Column, key: str, remove: list[str] | None = None, repla
     return F.map_filter(F.transform_values(meta, change), lambda k, v: F.size(v) > 0)
 
 
+def _json_udf(change):
+    """A string function of JSON texts in Arrow batches; what is no JSON object counts as an empty one."""
+    import json
+
+    def read(text: str | None) -> dict:
+        try:
+            value = json.loads(text) if text else {}
+        except ValueError:
+            value = {}
+        return value if isinstance(value, dict) else {}
+
+    @F.pandas_udf(T.StringType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(change(read(x), y), ensure_ascii=False) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run, read
+
+
+def with_path(meta: Column, path: list[str], value: Column) -> Column:
+    """A JSON object with a string value under a path of names; what is missing on the way is made, what is no object replaced."""
+
+    def change(whole: dict, new: str | None) -> dict:
+        at = whole
+        for name in path[:-1]:
+            if not isinstance(at.get(name), dict):
+                at[name] = {}
+            at = at[name]
+        at[path[-1]] = new
+        return whole
+
+    return _json_udf(change)[0](meta, value)
+
+
+def deep_merged(old: Column, new: Column) -> Column:
+    """Two JSON objects: objects under the same name are merged, other values are those of the second."""
+
+    def merge(a: dict, b: dict) -> dict:
+        return a | {k: merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
+
+    run, read = _json_udf(lambda a, b: merge(a, read(b)))
+    return run(old, new)
+
+
 def parse_features(texts: Iterator[str | None]) -> list[dict[str, float]]:
     """Tag features from JSON or Python literals; what isn't a finite number under a name is left out."""
     import ast

@@ -143,6 +143,18 @@ def highlight(c: Column, words: list[str]) -> Column:
     return F.array_join(F.transform(hit, lambda p: F.regexp_replace(p, pattern, "$1<em>$2</em>")), "...")
 
 
+def highlighted(c: Column, words: Column) -> Column:
+    """The sentences with a hit of words (a column of alternatives, letters and digits between bars), the hits in <em>."""
+    pattern = F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])("), words, F.lit(r")(?=$|[^\p{L}\p{N}])"))
+    hit = F.filter(sentences(c), lambda p: F.rlike(p, pattern))
+    return F.transform(hit, lambda p: F.regexp_replace(p, pattern, F.lit("$1<em>$2</em>")))
+
+
+def parsed_vector(c: Column) -> Column:
+    """Numbers between tabs; null where there is none."""
+    return F.transform(F.split(c, "\t"), lambda x: x.try_cast("double"))
+
+
 def half_width(c: Column) -> Column:
     """Full-width forms of ASCII as ASCII, the ideographic blank as a blank."""
     wide = "".join(chr(x) for x in range(0xFF01, 0xFF5F)) + "　"

@@ -125,10 +125,6 @@ def u6_reserved_extras(s: SparkSession, d: str) -> DataFrame:
     return main.union(extra)
 
 
-def x27_highlight(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "documents").where("text is not null").select("doc_id", X.highlight(F.col("text"), ["pump", "budget", "audit"]).alias("marked")).where("marked <> ''")
-
-
 @query("""SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 5) AS cosine FROM embeddings e JOIN (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) f USING (label)""")
 def m9_cosine(s: SparkSession, d: str) -> DataFrame:
     """Cosine of each vector and the first one of its label."""
@@ -273,4 +269,4 @@ def s5_bulk_insert(s: SparkSession, d: str) -> DataFrame:
     return R.upsert(rows.where("id % 3 <> 0"), rows.where("id % 4 <> 0").withColumn("v", F.col("v") + F.col("id") % 5), ["id"])
 
 
-QUERIES |= {f.__name__: f for f in (r23_fused_search, c18_embed, x27_highlight)}
+QUERIES |= {f.__name__: f for f in (r23_fused_search, c18_embed)}

@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from foliant.plans import answer_queries, feed_queries, more_queries, relational_queries, retrieval_queries, rewrite_queries, source_queries, state_queries, stream_queries, text_queries
+from foliant.plans import answer_queries, feed_queries, more_queries, relational_queries, retrieval_queries, rewrite_queries, source_queries, state_queries, stream_queries, text_queries, value_queries
 from tools.compare import plain
 
 DATA = Path("/root/testdata/sf0.001")
-MODULES = (feed_queries, relational_queries, retrieval_queries, text_queries, stream_queries, answer_queries, more_queries, rewrite_queries, state_queries, source_queries)
+MODULES = (feed_queries, relational_queries, retrieval_queries, text_queries, stream_queries, answer_queries, more_queries, rewrite_queries, state_queries, source_queries, value_queries)
 NAMES = sorted(n for m in MODULES for n in m.QUERIES)
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
