@@ -122,9 +122,16 @@ def lexical_top(corpus: DataFrame, key: str, text: str, queries: DataFrame, k: i
     if phrases:
         pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
         worded = worded.withColumn("w", F.concat("w", pairs))
-    stats = worded.select("dl").where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    freq = worded.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # texts are read once for both: each gives its distinct terms, and one row without a term for its length
+    size = F.col("dl").cast("bigint")
+    own = F.concat(F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), size.alias("dl"))))
+    wanted = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+    met = worded.select(F.inline(own)).join(wanted, "term", "left").where("_asked or term is null")
+    counted = cut(met.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("words"), F.count_if(F.col("dl") > 0).alias("texts")))
+    stats = counted.where("term is null").first()
+    n = stats["texts"] if stats else 0
+    avgdl = stats["words"] / n if n else 1.0
+    freq = counted.where("term is not null").select("term", "df")
     part = F.col("weight") * idf(F.lit(n), F.col("df"))
     if model == "scripted":
         part = part / math.log(1 + max(n - 0.5, 0.5) / 1.5)
