@@ -144,7 +144,8 @@ def scoring_terms(rewritten_: DataFrame) -> DataFrame:
 
 def paragraph_query(texts: DataFrame, key: str, text: str, keywords: int = PARAGRAPH_TERMS) -> DataFrame:
     """(key, term, weight, required): the heaviest terms of a paragraph and how many of them a match needs."""
-    best = F.slice(F.array_sort("w", lambda a, b: F.when(a["weight"] > b["weight"], -1).when(a["weight"] < b["weight"], 1).when(a["term"] < b["term"], -1).when(a["term"] > b["term"], 1).otherwise(0)), 1, keywords)
+    sorted_ = F.array_sort(F.transform("w", lambda x: F.struct((-x["weight"]).alias("less"), x["term"].alias("term"))))
+    best = F.transform(F.slice(sorted_, 1, keywords), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).alias("weight")))
     rows = settled(weighted(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), V.tokens(F.col("text"))), best=best).select("key", F.col("best").alias("w"))
     return rows.select("key", F.explode("w").alias("x"), F.least(F.lit(3), F.bround(F.size("w") / 10, 0).cast("int")).alias("required")).select("key", "x.term", "x.weight", "required")
 

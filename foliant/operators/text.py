@@ -145,7 +145,7 @@ def highlight(c: Column, words: list[str]) -> Column:
 
 def highlighted(c: Column, words: Column) -> Column:
     """The sentences with a hit of words (a column of alternatives, letters and digits between bars), the hits in <em>."""
-    pattern = F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])("), words, F.lit(r")(?=$|[^\p{L}\p{N}])"))
+    pattern = F.concat(F.lit(r"(?iu)(^|[^\p{L}\p{N}])("), words, F.lit(r")(?=$|[^\p{L}\p{N}])"))
     hit = F.filter(sentences(c), lambda p: F.rlike(p, pattern))
     return F.transform(hit, lambda p: F.regexp_replace(p, pattern, F.lit("$1<em>$2</em>")))
 

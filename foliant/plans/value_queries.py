@@ -143,3 +143,12 @@ def r21_recovery(s: SparkSession, d: str) -> DataFrame:
     same = asked.join(docs.select(F.col("doc_id").alias("key"), "docnm_kwd"), "docnm_kwd").select("query", "key", F.col("key").alias("document"), F.lit(0.0).alias("score"))
     title = row_numbers(same, ["query"], [F.col("key")], "place")
     return G.recovered(lane("bm25", 20), {"title": title, "sparse": lane("scripted", 60)}, {"title": 2, "sparse": 3}, 20, title.select("query", "document")).select("query", "key", "extra", "place")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, regexp_split_to_array('![p](' || doc_id % 3 || '.png) and ![q](a.png)' || chr(10) || text || chr(10) || '<img src="' || doc_id % 5 || '.jpg"> ![p](a.png) ![p](a.png)', '\r\n|\r|\n') AS x FROM documents WHERE text IS NOT NULL)),
+  u AS (SELECT doc_id, i, unnest(list_concat(regexp_extract_all(line, '!\[[^\]]*\]\(([^)\s]+)', 1), regexp_extract_all(line, '(?i)src=["\x27]([^"\x27>\s]+)', 1))) AS url FROM l) SELECT DISTINCT doc_id, CAST(i AS INTEGER) AS line, url FROM u""")
+def x38_image_links(s: SparkSession, d: str) -> DataFrame:
+    """The images of every text, with some put around it, by line."""
+    number = lambda n: (F.col("doc_id") % n).cast("string")
+    text = F.concat(F.lit("![p]("), number(3), F.lit(".png) and ![q](a.png)\n"), "text", F.lit('\n<img src="'), number(5), F.lit('.jpg"> ![p](a.png) ![p](a.png)'))
+    return load(s, d, "documents").where("text is not null").select("doc_id", F.inline(X.image_links(text)))
