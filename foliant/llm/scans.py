@@ -3,15 +3,16 @@
 First all chunks are read once: words are counted, and marks that only printed pages leave are noted (words broken over
 a line end, page numbers with their marks, digits inside words, head lines over lines of a page's width). A file with such a mark whose chunks mostly have lines of a page's
 width is a scanned file, also one whose chunks nearly all have them. The chunks of these are then read line by line: head lines and page numbers are taken out, broken words joined, and each word that is not in the
-vocabulary is looked up in tries of the vocabulary with an automaton that takes the exchange of a look-alike stretch as
-one edit (two exchanges at most from six letters on, one below, and three from seven letters on where two find nothing). The candidates are ranked by the number of differences, then by how often the
+vocabulary is looked up in tries of the vocabulary with a Levenshtein automaton, for which the exchange of a look-alike stretch is
+one edit, too (two edits at most from six letters on, one below, and three from seven letters on where two find nothing). Of the words it finds those are candidates that exchanges
+explain, also such that change again what another has made; swapped or missing letters are no misreads. The candidates are ranked by the number of exchanges, then by how often the
 corpus has them beside the neighbouring words, then by frequency. Last, lines are reflowed into paragraphs.
 
 The vocabulary holds the words of at least ``LEAST`` chunks, scanned or not, whatever the size of the corpus; stretches beside a
 digit or broken over a line end are no words. A word that scanned files use as often as the others or more is left out as a
 misread only if it looks like a word that is DOMINANT times as frequent in both kinds of files. The vocabulary stays a table: it is cut
-by the first ``PREFIX`` letters of its words, each part makes a trie of its own, and a word that is looked up goes to all
-parts whose prefix its automaton can reach, so no candidate is lost and no task holds the whole. The most frequent words (``HEAD_WORDS``)
+by the first ``PREFIX`` letters of its words, each part makes a trie of its own. The automaton of a word walks the trie of these prefixes first, and the word
+goes to all parts that it reaches, so no candidate is lost and no task holds the whole. The most frequent words (``HEAD_WORDS``)
 are known to every task, only so that they need not be joined. The counts of neighbouring words come from a count sketch of fixed size.
 
 Cases: chunks of other files come out as they are; null and empty contents too. Repeated rows of a chunk are one. A
@@ -25,14 +26,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.lexicon import Trie, distance_within, letters, prefixes
+from foliant.llm.lexicon import WALKERS, Trie, distance_within, letters
 from foliant.llm.neardup import _sketch
 from foliant.llm.shingles import shingle_sets
 from foliant.session import cut
@@ -41,8 +42,9 @@ from foliant.session import cut
 LEAST = 3
 #: Words, those of most chunks, that every task holds to save their join; what is found doesn't depend on it.
 HEAD_WORDS = 200_000
-#: First letters by which words of the vocabulary are dealt to tries, the words of a trie, and the least number of tries.
-PREFIX, TRIE_WORDS, TRIES = 4, 50_000, 16
+#: First letters by which words of the vocabulary are dealt to tries (fewer, if more than MOST_PREFIXES begin words), the words of a
+#: trie, the tries of a small vocabulary, and the words that are looked up at once; results don't depend on them.
+PREFIX, MOST_PREFIXES, TRIE_WORDS, TRIES, ASKED_WORDS = 4, 50_000, 50_000, 16, 200_000
 #: How much more frequent a look-alike must be for a word that scanned files use more to be a misread of it.
 DOMINANT = 5
 CONTEXT_BITS = 22
@@ -340,34 +342,75 @@ def _counted(survey: DataFrame, pages: DataFrame) -> DataFrame:
     return counted.where((F.col("clean") + F.col("scanned") >= LEAST) & (F.length("word") >= 2))
 
 
-def look_alikes(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, other, n, clean, scanned): all words of the vocabulary (word, clean, scanned) that asked words (word) look like, with the
-    least number of exchanged stretches."""
+def _parts(begun: list[tuple[str, int]], words_of_trie: int) -> list[tuple[str, int, int]]:
+    """(prefix, first part, parts) of sorted (prefix, words): neighbours share a part while it has room, a prefix of more words has several."""
+    out, part, held = [], 0, 0
+    for prefix, n in begun:
+        if held and held + n > words_of_trie:
+            part, held = part + 1, 0
+        parts = math.ceil(n / words_of_trie)
+        out.append((prefix, part, parts))
+        part, held = (part + parts, 0) if parts > 1 else (part, held + n)
+    return out
 
-    tries = max(TRIES, math.ceil(vocabulary.count() / TRIE_WORDS))
 
-    def part(prefix: str) -> int:
-        return zlib.crc32(prefix.encode("utf-8", "replace")) % tries
+def _by_reach(words: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
+    """(edits, the words that may be misread and are looked up within so many)."""
+    by: dict[int, list[str]] = {}
+    for w in words:
+        if can_be_misread(w):
+            by.setdefault(_reach(w)[-1], []).append(w)
+    yield from by.items()
 
-    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, w) for w in batch["word"] if can_be_misread(w) for p in {part(x) for x in prefixes(w, _MEANT, _reach(w)[-1], PREFIX)}]
-            yield pd.DataFrame(rows, columns=["part", "word"])
 
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def look_alikes(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, other, n, clean, scanned): all words of the vocabulary (word, clean, scanned) that Levenshtein automata of asked words
+    (word) find and exchanged stretches explain, with the least number of exchanges."""
+    spark = asked.sparkSession
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(part=[part(letters(w)[:PREFIX]) for w in batch["word"]])
+            yield batch.assign(begins=[letters(w)[:PREFIX] for w in batch["word"]])
+
+    known = cut(vocabulary.select("word", "clean", "scanned").mapInPandas(begin, "word string, clean bigint, scanned bigint, begins string"))
+    for length in range(PREFIX, 0, -1):
+        begun = known.groupBy(F.substring("begins", 1, length).alias("begins")).count()
+        if length == 1 or begun.count() <= MOST_PREFIXES:
+            break
+    counts = sorted(tuple(r) for r in begun.collect())
+    dealt = _parts(counts, min(TRIE_WORDS, max(1, math.ceil(sum(n for _, n in counts) / TRIES))))
+    parts = spark.sparkContext.broadcast(dealt)
 
-    def find(words: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie = Trie(prefix for prefix, _, _ in parts.value)
+        ranges = {prefix: range(first, first + n) for prefix, first, n in parts.value}
+        of_node = [ranges[w] if w is not None else range(0) for w in trie.word]
+        first, last = np.array([r.start for r in of_node]), np.array([r.stop for r in of_node])
+        total = int(last.max(initial=0))
+        for batch in batches:
+            for at in range(0, len(batch), WALKERS):
+                for most, words in _by_reach(batch["word"][at : at + WALKERS]):
+                    hit = np.zeros((len(words), total + 1), np.int32)  # ranges of parts, added up
+                    for places, nodes, _ in trie.near(words, most, _MEANT, open_ended=True):
+                        np.add.at(hit, (places, first[nodes]), 1)
+                        np.add.at(hit, (places, last[nodes]), -1)
+                    word, part = np.nonzero(np.cumsum(hit, axis=1)[:, :total])
+                    yield pd.DataFrame({"part": part, "word": np.array(words, object)[word]})
+
+    def find(words: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if len(words) and len(known):
-            trie, counts = Trie(known["word"]), dict(zip(known["word"], zip(known["clean"], known["scanned"], strict=True), strict=True))
-            rows = [(w, other, n, *counts[other]) for w in words["word"] for other, n in trie.alike(w, _MEANT, _reach(w)[-1])]
+        if len(words) and len(held):
+            trie, chunks = Trie(held["word"]), dict(zip(held["word"], zip(held["clean"], held["scanned"], strict=True), strict=True))
+            for most, some in _by_reach(words["word"]):
+                rows += [(some[i], other, n, *chunks[other]) for i, other, n in trie.look_alikes(some, _MEANT, most)]
         return pd.DataFrame(rows, columns=["word", "other", "n", "clean", "scanned"])
 
-    words = asked.select("word").mapInPandas(reached, "part int, word string")
-    known = vocabulary.select("word", "clean", "scanned").mapInPandas(dealt, "word string, clean bigint, scanned bigint, part int")
-    return words.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(find, "word string, other string, n int, clean bigint, scanned bigint")
+    slices = max(1, math.ceil(asked.count() / ASKED_WORDS))
+    words = asked.select("word").mapInPandas(reached, "part int, word string").withColumn("slice", F.crc32("word") % slices)
+    first = spark.createDataFrame(dealt, "begins string, first int, parts int")
+    held = known.withColumn("begins", F.substring("begins", 1, length)).join(F.broadcast(first), "begins")
+    held = held.select("word", "clean", "scanned", (F.col("first") + F.crc32("word") % F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"))
+    return words.groupBy("part", "slice").cogroup(held.groupBy("part", "slice")).applyInPandas(find, "word string, other string, n int, clean bigint, scanned bigint")
 
 
 def _answers(asked: DataFrame, counted: DataFrame) -> DataFrame:

@@ -139,3 +139,46 @@ def test_alike_is_complete(words, word, most):
     want = {w: n for w in words if w != word and (n := swaps(word, w, frozenset((s, m) for s in S._MEANT for m in S._MEANT[s]), most))}
     got = dict(Trie(words).alike(word, S._MEANT, most))
     assert want.items() <= got.items() and word not in got
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.text(alphabet="rnmclduü1h가", min_size=1, max_size=7), max_size=30), st.lists(st.text(alphabet="rnmclduü1h가", min_size=1, max_size=7), max_size=4), st.integers(0, 3))
+def test_automata_in_arrays_are_complete(words, asked, most):
+    """Every word within the distance is found, those that no exchange explains too, and each prefix that leads to one is reached."""
+    from foliant.llm.lexicon import letters
+
+    trie, got = Trie(words), {}
+    for places, nodes, edits in trie.near(asked, most, S._MEANT):
+        got |= {(int(i), trie.word[node]): int(n) for i, node, n in zip(places, nodes, edits)}
+    within = {(i, w): n for i, a in enumerate(asked) for w in words if (n := distance(letters(a), letters(w))) <= most}
+    assert within.keys() <= got.keys() and all(got[k] <= n for k, n in within.items())
+    assert {k for k, n in got.items() if n == 0} == {k for k, n in within.items() if n == 0}
+    assert {(i, w) for i, a in enumerate(asked) for w in words if swaps(a, w, S._ALIKE, most) is not None} <= got.keys()
+    begun = Trie({letters(w)[:2] for w in words})
+    reached = {(int(i), begun.word[node]) for places, nodes, _ in begun.near(asked, most, S._MEANT, open_ended=True) for i, node in zip(places, nodes)}
+    assert {(i, letters(w)[:2]) for i, w in got} <= reached
+
+
+def test_longer_words_than_a_machine_word():
+    word = "rnodern" * 20
+    found = {trie.word[node]: int(n) for trie in [Trie([word.replace("rn", "m", 1), word[1:], word + "abc", word])] for _, nodes, edits in trie.near([word], 2, S._MEANT) for node, n in zip(nodes, edits)}
+    assert found == {word: 0, word[1:]: 1, word.replace("rn", "m", 1): 1}
+
+
+def test_characters_misread_twice(spark, monkeypatch):
+    """Words within the distance of the automaton that no single exchange of a stretch leads to; however the vocabulary is dealt."""
+    meant = {"l0boratory": "laboratory", "tedinician": "technician", "slirvey": "survey", "branc1i": "branch", "foldcr": "folder"}
+    words = [*meant.values(), "certificate", "report", "folders"]
+    counted = spark.createDataFrame([(w, 90, 9) for w in words], "word string, clean bigint, scanned bigint")
+    asked = spark.createDataFrame([(w,) for w in [*meant, "rport", "reprot", "tecnician", "laboratory"]], "word string")
+    for prefixes_, of_trie, at_once in [(50_000, 50_000, 200_000), (2, 1, 3)]:
+        monkeypatch.setattr(S, "MOST_PREFIXES", prefixes_)
+        monkeypatch.setattr(S, "TRIE_WORDS", of_trie)
+        monkeypatch.setattr(S, "ASKED_WORDS", at_once)
+        got = [(r["word"], r["other"]) for r in S.look_alikes(asked, counted).collect()]
+        assert sorted(got) == sorted(meant.items())
+
+
+def test_parts_of_a_vocabulary():
+    assert S._parts([("a", 3), ("b", 2), ("c", 12), ("d", 1), ("e", 5)], 5) == [("a", 0, 1), ("b", 0, 1), ("c", 1, 3), ("d", 4, 1), ("e", 5, 1)]
+    assert S._parts([], 5) == []
